@@ -31,15 +31,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE, head: int | None = None
+) -> tuple[np.ndarray, ...]:
     """Hashes of the words of consecutive texts, and each text's number of words.
 
-    ``data`` is a uint8 array; text i is ``data[offsets[i]:offsets[i + 1]]``.
+    ``data`` is a uint8 array; text i is ``data[offsets[i]:offsets[i + 1]]``. ``outside`` marks
+    the bytes between words. With ``head``, hashes of the words' first bytes come third.
     """
     counts = np.zeros(len(offsets) - 1, np.int64)
+    nothing = (np.zeros(0, np.uint64), counts) + ((np.zeros(0, np.uint64),) if head else ())
     if len(data) == 0:
-        return np.zeros(0, np.uint64), counts
-    inside = ~_SPACE[data]
+        return nothing
+    inside = ~outside[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
     first = inside.copy()
@@ -48,16 +52,33 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last[:-1] &= ~inside[1:] | border[1:-1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     if len(begin) == 0:
-        return np.zeros(0, np.uint64), counts
+        return nothing
     length = end - begin
     start = np.concatenate(([0], np.cumsum(length)[:-1]))
     place = np.arange(length.sum()) - np.repeat(start, length)
     powers = np.full(int(length.max()), _PRIME, np.uint64)
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
-    h = np.add.reduceat(_TABLE[data[inside]] * powers[place], start)
+    terms = _TABLE[data[inside]] * powers[place]
     counts = np.searchsorted(begin, offsets[1:]) - np.searchsorted(begin, offsets[:-1])
-    return mix(h + length.astype(np.uint64)), counts
+    words = mix(np.add.reduceat(terms, start) + length.astype(np.uint64))
+    if head is None:
+        return words, counts
+    terms[place >= head] = 0
+    return words, counts, mix(~np.add.reduceat(terms, start))
+
+
+def slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of whole texts of a binary column as (bytes, offsets), of about SLICE_BYTES."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(column):
+        j = int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1
+        j = min(max(i + 1, j), len(column))
+        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -65,17 +86,10 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
     Fewer words: the whole sequence as one shingle. No words or null: an empty array.
     """
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     valid = column.is_valid().to_numpy(zero_copy_only=False)
     i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
-        j = min(j, len(column))
-        words, counts = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    for data, offsets in slices(column):
+        words, counts = word_hashes(data, offsets)
         whole = words * _PLACE[0]
         for k in range(1, size):
             whole[: len(words) - k] += words[k:] * _PLACE[k]
@@ -89,4 +103,4 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             else:
                 yield np.unique(whole[at : at + n - size + 1])
             at += n
-        i = j
+        i += len(counts)
