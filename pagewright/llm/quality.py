@@ -74,18 +74,35 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - self.weights[found].sum(dtype=float), -30, 30)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = 2.0, steps: int = 160, least: int = 4) -> OrdinalModel:
+def telling(index: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int, sigmas: float) -> np.ndarray:
+    """Whether each bucket is in ``least`` rows or more, and as often on both sides of every grade only by chance."""
+    count = np.bincount(index, minlength=1 << BITS)
+    found = np.zeros(1 << BITS, bool)
+    for k in range(int(grades.max())):
+        high = grades > k
+        share = high.mean()
+        if 0 < share < 1:
+            above = np.bincount(index[high[owner]], minlength=1 << BITS)
+            found |= np.abs(above - share * count) >= sigmas * np.sqrt(count * share * (1 - share) * (1 - count / len(grades))) + 1e-9
+    return found & (count >= least)
+
+
+def fit(
+    rows: list[np.ndarray], grades: np.ndarray, l2: float = 0.3, steps: int = 200, least: int = 4, sigmas: float = 3.0
+) -> OrdinalModel:
     """Maximum penalised likelihood by full-batch gradients with per-weight step sizes (Adam).
 
-    Buckets found in fewer than ``least`` rows keep the weight 0, so single documents teach nothing by heart.
+    Buckets found in fewer than ``least`` rows, or whose frequency does not depend on the grade (``sigmas``
+    standard errors), keep the weight 0, so that single documents teach nothing by heart.
     """
     top = int(grades.max())
     index = np.concatenate(rows)
-    often = np.bincount(index, minlength=1 << BITS) >= least
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    often = telling(index, owner, grades, least, sigmas)
     used = np.flatnonzero(often)
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[often[index]]
+    owner = owner[often[index]]
     index = place[index[often[index]]]
     n = len(rows)
     goal = (grades[:, None] > np.arange(top)[None, :]).astype(float)
