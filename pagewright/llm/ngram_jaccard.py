@@ -38,6 +38,8 @@ from pagewright.llm.shingles import mix, shingle_sets
 #: Members of one key that a task compares; larger ones are dealt over pairs of tiles.
 TILE = 2048
 FANOUT = 32
+#: Keys by which a task knows that a pair has met before; fewer only repeat pairs.
+SMALLEST = 64
 
 
 def most_difference(a: int, b: int, percent: int) -> int:
@@ -71,9 +73,10 @@ def group_keys(h: np.ndarray, percent: int) -> np.ndarray:
 
 
 def count_vector(h: np.ndarray) -> np.ndarray:
-    """Group counts; about four shingles a group, 8 to 4096 groups."""
-    groups = 1 << min(12, max(3, len(h).bit_length() - 3))
-    return np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4")
+    """Group counts; one to two groups a shingle, 16 to 16384 groups."""
+    groups = 1 << min(14, max(4, len(h).bit_length()))
+    counts = np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u2" if len(h) < 1 << 16 else "<u4")
 
 
 def print_of(h: np.ndarray) -> int:
@@ -102,11 +105,13 @@ def whole_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
             sets = list(shingle_sets(part.column("text"), size))
+            vectors = [count_vector(h) for h in sets]
             yield pa.RecordBatch.from_pydict(
                 {
                     "fp": part.column("fp"),
                     "n": pa.array([len(h) for h in sets], pa.int64()),
-                    "vec": pa.array([count_vector(h).tobytes() for h in sets], pa.binary()),
+                    "vec": pa.array([v.tobytes() for v in vectors], pa.binary()),
+                    "width": pa.array([v.itemsize for v in vectors], pa.int32()),
                     "items": pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())),
                 }
             )
@@ -153,18 +158,23 @@ class CountRTree:
         return np.concatenate(kept, axis=1) if kept else pairs
 
 
-def _points(vectors: list[bytes]) -> np.ndarray:
+def _points(vectors: list[bytes], widths: list[int]) -> np.ndarray:
     """Count vectors folded to the fewest groups that any of them has."""
-    arrays = [np.frombuffer(v, "<u4").astype(np.int32) for v in vectors]
+    arrays = [np.frombuffer(v, f"<u{w}") for v, w in zip(vectors, widths, strict=True)]
     groups = min(map(len, arrays))
-    return np.stack([v.reshape(-1, groups).sum(axis=0) if len(v) > groups else v for v in arrays])
+    folded = [v.reshape(-1, groups).sum(axis=0) if len(v) > groups else v for v in arrays]
+    most = max(int(v.max()) for v in folded)
+    return np.stack(folded).astype("u1" if most < 256 else "u2" if most < 1 << 16 else "u4")
 
 
 def tile_pairs(rows: dict[str, list], percent: int) -> tuple[list[int], list[int]]:
-    """Candidate pairs of one tile pair: different components, bound reached."""
+    """Candidate pairs of one tile pair: different components, bound reached.
+
+    A pair that has met under a smaller key, as far as the rows' smallest keys tell, is not given again.
+    """
     side, sizes = np.array(rows["side"]), np.array(rows["n"], np.int64)
     comps, fps = np.array(rows["component"], np.int64), np.array(rows["fp"], np.int64)
-    points = _points(rows["vec"])
+    points = _points(rows["vec"], rows["width"])
     left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
     if len(left) == 0 or len(right) == 0:
         return [], []
@@ -173,8 +183,12 @@ def tile_pairs(rows: dict[str, list], percent: int) -> tuple[list[int], list[int
     i, j = a.join(b, percent)
     i, j = left[i], right[j]
     other = comps[i] != comps[j]
-    lo, hi = np.minimum(fps[i], fps[j])[other], np.maximum(fps[i], fps[j])[other]
-    both = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
+    i, j = i[other], j[other]
+    lo, hi = np.minimum(fps[i], fps[j]), np.maximum(fps[i], fps[j])
+    here = rows["key"][0]
+    before = [{k for k in keys if k < here} for keys in rows["smallest"]]
+    new = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if before[x].isdisjoint(before[y])]
+    both = np.unique(np.stack([lo, hi], axis=1)[new], axis=0)
     return both[:, 0].tolist(), both[:, 1].tolist()
 
 
@@ -229,7 +243,7 @@ def jaccard_components(
 
     needed = members.select("fp").distinct().join(heads, "fp")
     texts = base.join(needed, "id").select("fp", "text")
-    sets = texts.mapInArrow(lambda it: whole_sets(it, size), "fp long, n long, vec binary, items array<long>")
+    sets = texts.mapInArrow(lambda it: whole_sets(it, size), "fp long, n long, vec binary, width int, items array<long>")
     sets = keep(sets, "sets")
 
     met = members.where("fp <> hub").groupBy("fp", "hub").count()
@@ -241,13 +255,20 @@ def jaccard_components(
     placed = members.select("key", "fp").join(first, F.col("fp") == F.col("node"), "left")
     placed = placed.select("key", "fp", F.coalesce("component", "fp").alias("component"))
     placed = keep(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
-    mixed = mixed.where("x < y").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    rows = placed.join(mixed, "key").join(sets.select("fp", "n", "vec"), "fp")
+    # Keys with the very same members tell the same; one of them is searched.
+    who = F.sum(F.xxhash64("fp").cast("decimal(38,0)"))
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), who.alias("who")
+    )
+    mixed = mixed.where("x < y").groupBy("m", "x", "y", "who").agg(F.min("key").alias("key"))
+    mixed = mixed.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    rows = keep(placed.join(mixed, "key"), "mixed")
+    smallest = rows.groupBy("fp").agg(F.slice(F.sort_array(F.collect_list("key")), 1, SMALLEST).alias("smallest"))
+    rows = rows.join(sets.select("fp", "n", "vec", "width").join(smallest, "fp"), "fp")
     tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     rows = rows.withColumn("tile", tile).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select(
-        "key", "fp", "component", "n", "vec",
+        "key", "fp", "component", "n", "vec", "width", "smallest",
         F.least("tile", "o").alias("t"), F.greatest("tile", "o").alias("u"), F.signum(F.col("tile") - F.col("o")).cast("int").alias("side"),
     )
     rows = rows.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
