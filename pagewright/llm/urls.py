@@ -55,8 +55,11 @@ def tokens_of(url: Column) -> Column:
     segments = F.transform(F.split(path, "[/._-]"), lambda s: F.when(s.rlike("^[0-9]+$"), F.lit("<n>")).otherwise(F.substring(s, 1, 64)))
     keys = F.transform(F.split(query, "[&;]"), lambda p: F.substring_index(p, "=", 1))
     parts = [(labels, "d:"), (words, "h:"), (segments, "p:"), (keys, "q:")]
-    named = [F.transform(F.array_remove(part, ""), lambda x, mark=mark: F.concat(F.lit(mark), x)) for part, mark in parts]
-    return F.array_distinct(F.concat(*named))
+    return F.array_distinct(F.concat(*(_marked(part, mark) for part, mark in parts)))
+
+
+def _marked(part: Column, mark: str) -> Column:
+    return F.transform(F.array_remove(part, ""), lambda x: F.concat(F.lit(mark), x))
 
 
 def mined_rules(labelled: DataFrame, support: float = 0.0005, confidence: float = 0.8, least: int = 5) -> DataFrame:
