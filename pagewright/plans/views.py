@@ -40,7 +40,7 @@ _TYPE = "case when ext in ('png', 'jpg', 'webp') then 'image' when ext = 'svg' t
 ITEMS = f"""
 select p_partkey as idx, url, {_TYPE} as type, concat('file-', cast(p_partkey as string), '.', ext) as name, ext,
     case when p_partkey % 8 = 0 then 'missing' when p_partkey % 17 = 0 then 'error' else 'ok' end as status,
-    cast(p_retailprice as bigint) as size, case when p_partkey % 5 = 0 then null else p_size * 20 end as width,
+    cast(floor(p_retailprice) as bigint) as size, case when p_partkey % 5 = 0 then null else p_size * 20 end as width,
     case when p_partkey % 5 = 0 then null else p_size * 10 end as height, case when ext in ('mp4', 'mp3') then p_size * 1.5 else null end as duration,
     concat('img', cast(p_partkey % 7 as string), '.example.com') as host, md5(cast(p_partkey % 1500 as string)) as hash,
     case p_partkey % 3 when 0 then 'attr' when 1 then 'css' else 'json' end as provenance, lower(p_type) as alt, lower(p_name) as title
