@@ -284,7 +284,7 @@ _HINT = "lower(replace(p_type, ' ', '-'))"
 
 
 @query(f"""select p_partkey, case when regexp_matches(h, '(?:^|[^a-z0-9])(?:nav|menu|toolbar)(?:[^a-z0-9]|$)') then 'nav' when regexp_matches(h, '(?:^|[^a-z0-9])(?:header|topbar)(?:[^a-z0-9]|$)') then 'header'
-    when regexp_matches(h, '(?:^|[^a-z0-9])(?:sidebar)(?:[^a-z0-9]|$)') then 'aside' when regexp_matches(h, '(?:^|[^a-z0-9])(?:promo|share)(?:[^a-z0-9]|$)') then 'widget' when h like '%globalnav%' then 'nav' when h like '%sitefooter%' then 'footer' else '' end as kind
+    when regexp_matches(h, '(?:^|[^a-z0-9])(?:sitefooter)(?:[^a-z0-9]|$)') then 'footer' when regexp_matches(h, '(?:^|[^a-z0-9])(?:sidebar)(?:[^a-z0-9]|$)') then 'aside' when regexp_matches(h, '(?:^|[^a-z0-9])(?:promo|share)(?:[^a-z0-9]|$)') then 'widget' when h like '%globalnav%' then 'nav' else '' end as kind
     from (select p_partkey, concat({_HINT}, ' ', case p_partkey % 8 when 0 then 'main-menu' when 1 then 'topbar' when 2 then 'sidebar' when 3 then 'promo' when 4 then 'globalnav' when 5 then 'sitefooter' when 6 then '' else 'hero' end) as h from part)""")
 def region_hint_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.element_at(F.array(*map(F.lit, ("main-menu", "topbar", "sidebar", "promo", "globalnav", "sitefooter", "card-header", "hero"))), (F.col("p_partkey") % 8 + 1).cast("int"))
