@@ -129,16 +129,21 @@ def _pixels(edge: Column) -> Column:
     return F.concat(edge.cast("long").cast("string"), F.lit("px"))
 
 
+def _read_once(refs: DataFrame) -> DataFrame:
+    """What several rules look at, computed once a row: path, host, file name, declared edge."""
+    inline, url = F.col("data_mime").isNotNull(), F.col("url")
+    path = F.when(inline, F.concat(F.lit("data:"), F.lower("data_mime"))).otherwise(path_and_query(url))
+    rows = refs.withColumns({"_path": path, "_host": F.when(inline, "").otherwise(host_name(url)), "_edge": declared_edge()})
+    return rows.withColumn("_name", F.substring_index(F.substring_index("_path", "?", 1), "/", -1))
+
+
 def pre_filter(options: Options = Options()) -> Column:
-    """The verdict on a reference before anything is fetched."""
+    """The verdict on a reference before anything is fetched, over rows of ``_read_once``."""
     none = F.lit(None).cast("struct<reason:string,detail:string>")
     kind = F.coalesce(F.col("type"), F.lit("other"))
     inline = F.col("data_mime").isNotNull()
-    path = F.when(inline, F.concat(F.lit("data:"), F.lower(F.col("data_mime")))).otherwise(path_and_query(F.col("url")))
-    host = F.when(inline, "").otherwise(host_name(F.col("url")))
-    name = F.substring_index(F.substring_index(path_and_query(F.col("url")), "?", 1), "/", -1)
+    path, host, name, edge = (F.col(c) for c in ("_path", "_host", "_name", "_edge"))
     visual = kind.isin("image", "vector", "other")
-    edge = declared_edge()
     small = edge <= ICON_CONTEXT_EDGE
     declared = F.when(edge > 0, F.concat(F.lit(" · 声明 "), _pixels(edge))).otherwise("")
     size = F.coalesce(F.col("data_bytes"), F.lit(0))
@@ -213,7 +218,7 @@ def reason_label(reason: Column) -> Column:
 
 def judge(refs: DataFrame, options: Options = Options()) -> DataFrame:
     """``refs`` with verdict (null: kept) and rescued, the cue that saved an unclassified one."""
-    full = with_columns(refs, REF_COLUMNS)
+    full = _read_once(with_columns(refs, REF_COLUMNS))
     rescued = F.when((F.col("type") == "other") & F.lit(not options.include_tech) & F.col("verdict").isNull(), content_signal())
     own = [c for c in refs.columns if c not in ("verdict", "rescued")]
     return full.withColumn("verdict", pre_filter(options)).withColumn("rescued", F.coalesce(rescued, F.lit(""))).select(*own, "verdict", "rescued")
