@@ -33,7 +33,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels")))
     scored = quality.score(docs, model, columns=["doc_id"])
     return scored.select(
-        "doc_id", "expected_grade", F.get("p_at_least", F.lit(0)).alias("p_not_toxic"), F.get("p_at_least", F.lit(1)).alias("p_good"), "keep"
+        "doc_id", "expected_grade", F.get("p_at_least", F.lit(0)).alias("p_not_toxic"), F.get("p_at_least", F.lit(1)).alias("p_good"), F.col("keep").alias("kept")
     )
 
 
