@@ -195,7 +195,11 @@ def type_of_mime_col(mime: Column) -> Column:
 
 
 def classify_col(mime: Column, ext: Column, context: Column, hint: Column) -> Column:
-    by_mime, by_ext = type_of_mime_col(mime), type_of_ext_col(ext)
+    return classified(type_of_mime_col(mime), type_of_ext_col(ext), context, hint)
+
+
+def classified(by_mime: Column, by_ext: Column, context: Column, hint: Column) -> Column:
+    """The type from evidence that is at hand as columns, so that each chain of tests is compiled once."""
     context = F.coalesce(context, F.lit(""))
     hinted = F.when((by_ext == "vector") & (hint == "image"), "vector").when(by_ext == "icon", "icon").otherwise(hint)
     moving = ["video", "audio"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import policy, region, text, types
 from pagewright.functions.urlmeta import url_meta_col
-from pagewright.operators import export, html, joins, refs, stats, view
+from pagewright.operators import export, html, joins, probe, refs, stats, view
 from pagewright.plans import views
 from pagewright.streaming import events as event_log
 from pagewright.streaming import pages as page_stream
@@ -633,3 +633,139 @@ def ttl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_pages_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks per page, by the page pipeline as a stream that ends when its input is read."""
     return page_stream.blocks_per_page(spark, f"{sf_dir}/pages.parquet")
+
+
+# ------------------------------------------------------------------ more of the same operators
+
+
+_KIND_LABELS = " ".join(f"when '{k}' then '{v}'" for k, v in region.KIND_LABELS.items())
+
+
+@query(f"with r as ({views.REFS}) select zone_kind, count(*) as n, case zone_kind {_KIND_LABELS} end as label from r where zone = 'noise' group by zone_kind")
+def region_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.region_kinds(views.refs(spark, sf_dir))
+
+
+@query(f"with r as ({views.REFS}) select seq, row_number() over (partition by page_id order by seq) > 100 as overflow from r")
+def overflow_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.overflow(views.refs(spark, sf_dir), 100, order="seq").select("seq", "overflow")
+
+
+@query(f"""with {_BLOCKS} select page_id, count(*) as blocks, sum({_CHARS})::bigint as chars, sum({_WORDS})::bigint as words, sum(strlen(text))::bigint as bytes,
+    count(*) filter (tag = 'h1') as headings, count(*) filter (zone = 'noise') as noise from blocks group by page_id""")
+def page_text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.text_totals(html.exploded(extracted(spark, sf_dir), "blocks"), ["page_id"])
+
+
+@query(f"with {_BLOCKS} select tag, text, min(page_id) as page_id from blocks group by tag, text")
+def page_blocks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of all pages as one list, first come first kept."""
+    rows = html.exploded(extracted(spark, sf_dir), "blocks")
+    return refs.keep_first(rows, ["tag", "text"], ["page_id", "ord"]).select("tag", "text", "page_id")
+
+
+@query(f"{_I} select type, count(*) as n, sum(size)::bigint as bytes, count(*) filter (status = 'ok') as ok, count(*) filter (status <> 'ok') as bad from i group by type")
+def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.View(items(spark, sf_dir)).counts()
+
+
+@query(f"{_I} select idx from i where type = 'image' or idx % 10 = 0")
+def selection_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir)
+    return view.added(rows.where("type = 'image'"), rows.where("idx % 10 = 0"))
+
+
+@query(f"{_I} select idx from i where type = 'image' and idx % 10 = 0")
+def selection_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir)
+    return view.intersected(rows.where("type = 'image'"), rows.where("idx % 10 = 0"))
+
+
+@query(f"{_I} select sum(size)::bigint as bytes from i where status = 'ok' and idx % 7 = 0")
+def selection_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir)
+    return view.View(rows, rows.where("idx % 7 = 0")).selected_bytes()
+
+
+@query("""with s as (select p_partkey, (p_partkey * 7919) % 5000 * (case p_partkey % 4 when 0 then 1 when 1 then 613 when 2 then 70001 else 3000017 end) as n from part),
+v as (select p_partkey, n, case when n < 1024 then n::double when n < 1048576 then n / 1024 when n < 1073741824 then n / 1048576 else n / 1073741824 end as x,
+    case when n < 1024 then 'B' when n < 1048576 then 'KB' when n < 1073741824 then 'MB' else 'GB' end as u from s)
+select p_partkey, concat(case when u = 'B' then n::varchar when x >= 100 then printf('%.0f', round(x)) when x >= 10 then printf('%.1f', round(x, 1)) else printf('%.2f', round(x, 2)) end, u) as label from v""")
+def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    factor = F.when(key % 4 == 0, 1).when(key % 4 == 1, 613).when(key % 4 == 2, 70001).otherwise(3000017)
+    return table(spark, sf_dir, "part").select("p_partkey", text.format_bytes((key * 7919) % 5000 * factor).alias("label"))
+
+
+@query("""select p_partkey, unnest(['a.png', 'b.png?x=1,2', 'c.webp']) as url, unnest([1.0, 0.0, 2.5]) as density, unnest([0.0, p_size * 10.0, 0.0]) as width from part""")
+def srcset_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat(F.lit("a.png 1x,  b.png?x=1,2 "), (F.col("p_size") * 10).cast("string"), F.lit("w, c.webp 2.5x"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(html.srcset_candidates(value)).alias("c"))
+    return rows.select("p_partkey", "c.*")
+
+
+@query("""select p_partkey as page_id, unnest([concat('https://x.example/css/bg', p_size, '.png'), 'https://x.example/up.woff2', 'https://x.example/css/more.css']) as url,
+    unnest(['background', 'src', null]) as css_prop, unnest([null, 'font', 'stylesheet']) as hint from part""")
+def css_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    css = F.concat(
+        F.lit("@import 'more.css'; /* url(not.png) */ .hero { background: url(bg"), F.col("p_size").cast("string"), F.lit(".png) no-repeat } @font-face { font-family: F; src: url('../up.woff2') format('woff2') }")
+    )
+    sheets = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/css/a.css").alias("url"), css.alias("css"))
+    return html.extract_css(sheets).select("page_id", "url", "css_prop", "hint")
+
+
+@query("""with p as (select p_partkey, ['/media/clip', '/img/one'] as stem from part)
+select p_partkey as page_id, concat('https://x.example/media/clip', p_partkey, '.mp4') as url, 'video' as type from p
+union all select p_partkey, concat('https://x.example/loose/file', p_partkey, '.pdf'), 'document' from p""")
+def json_and_loose_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    page = F.concat(F.lit('<script type="application/json">{"poster": "\\/media\\/clip'), key, F.lit('.mp4", "note": "text only"}</script><p>see https://x.example/loose/file'), key, F.lit(".pdf, and more</p>"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), page.alias("html"))
+    return refs.merge_references(html.exploded(html.extract_pages(pages), "refs").drop("position")).select("page_id", "url", "type")
+
+
+@query("select p_partkey, p_size * 20 as width, p_size * 10 as height, 'png' as ext, 'image' as type from part")
+def image_meta_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of generated PNG files, read back."""
+    side = lambda c: F.lpad(F.hex(c), 8, "0")
+    size = F.col("p_size").cast("long")
+    body = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), side(size * 20), side(size * 10), F.lit("0806000000" + "00" * 16)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
+    read = rows.select("p_partkey", probe.image_meta(F.col("body"), F.lit("")).alias("m"), probe.signature(F.col("body")).alias("s"))
+    return read.select("p_partkey", "m.width", "m.height", "s.ext", "s.type")
+
+
+@query("""select p_partkey, case p_partkey % 6 when 0 then 'gif' when 1 then 'pdf' when 2 then 'zip' when 3 then 'm3u8' when 4 then 'json' end as ext,
+    case p_partkey % 6 when 0 then 'image' when 1 then 'document' when 2 then 'archive' when 3 then 'video' when 4 then 'data' end as type from part""")
+def signatures_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.array(*(F.lit(h) for h in ("GIF89a", "%PDF-1.7", "PK\x03\x04", "#EXTM3U\n", ' {"a": 1}', "nothing")))
+    body = F.encode(F.element_at(heads, (F.col("p_partkey") % 6 + 1).cast("int")), "utf-8")
+    return table(spark, sf_dir, "part").select("p_partkey", probe.signature(body).alias("s")).select("p_partkey", "s.ext", "s.type")
+
+
+@query("""select p_partkey, count(*)::int as segments, sum(n)::double as duration from (select p_partkey, unnest(range(1, p_size + 2)) as n from part) group by p_partkey""")
+def playlist_meta_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = F.transform(F.sequence(F.lit(1), F.col("p_size") + 1), lambda n: F.concat(F.lit("#EXTINF:"), n.cast("string"), F.lit(",\nseg.ts")))
+    playlist = F.concat(F.lit("#EXTM3U\n"), F.array_join(lengths, "\n"), F.lit("\n#EXT-X-ENDLIST"))
+    return table(spark, sf_dir, "part").select("p_partkey", probe.playlist_meta(playlist).alias("m")).select("p_partkey", "m.segments", "m.duration")
+
+
+@query("""with b as (select p_partkey as block_id, concat('p|', p_name) as k, row_number() over (partition by p_name order by p_partkey) as n from part),
+e as (select p_partkey * 2 as el_id, concat('p|', p_name) as k, row_number() over (partition by p_name order by p_partkey) as n from part where p_partkey % 3 = 0)
+select block_id, el_id from b join e using (k, n)""")
+def block_element_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    blocks = part.select(F.col("p_partkey").alias("block_id"), F.lit("p").alias("tag"), F.col("p_name").alias("text"))
+    elements = part.where("p_partkey % 3 = 0").select((F.col("p_partkey") * 2).alias("el_id"), F.lit("P").alias("tag"), F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("  "))).alias("text"))
+    return joins.blocks_to_elements(blocks, elements)
+
+
+@query("""with e as (select o_orderkey as el_id, o_orderkey // 4 as parent_id, o_custkey % 50 as page_id, case o_orderkey % 5 when 0 then 'noise' when 1 then 'main' else 'content' end as zone from orders),
+c as (select e.page_id, e.el_id, e.zone, p.zone as pz from e left join e p on p.page_id = e.page_id and p.el_id = e.parent_id),
+k as (select *, row_number() over (partition by page_id, zone order by el_id) as place from c where coalesce(pz, 'content') <> zone and zone in ('noise', 'main') and not (zone = 'main' and coalesce(pz, '') = 'noise'))
+select page_id, el_id, zone, place from k where place <= case zone when 'noise' then 60 else 12 end""")
+def region_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    zone = F.when(key % 5 == 0, "noise").when(key % 5 == 1, "main").otherwise("content")
+    tree = table(spark, sf_dir, "orders").select(key.alias("el_id"), F.floor(key / 4).alias("parent_id"), (F.col("o_custkey") % 50).alias("page_id"), zone.alias("zone"))
+    return joins.region_bands(tree)
