@@ -217,6 +217,12 @@ def classified(by_mime: Column, by_ext: Column, context: Column, hint: Column) -
     )
 
 
+def with_type(df: DataFrame, mime: Column, ext: Column, context: Column, hint: Column) -> DataFrame:
+    """``df`` with ``type``; the tests of MIME type and extension run once a row."""
+    seen = {"_by_mime": type_of_mime_col(mime), "_by_ext": type_of_ext_col(ext)}
+    return df.withColumns(seen).withColumn("type", classified(F.col("_by_mime"), F.col("_by_ext"), context, hint)).drop(*seen)
+
+
 def mime_col(kind: Column, ext: Column) -> Column:
     """The MIME type of an extension, else of the type, else octet-stream."""
     by_ext = F.create_map(*(F.lit(x) for pair in MIME_OF_EXT.items() for x in pair))

@@ -54,9 +54,7 @@ def typed(refs: DataFrame) -> DataFrame:
     hint = F.when(~F.col("hint").isin("media", "link"), F.col("hint"))
     context = F.coalesce("context", F.concat(F.lit("<"), F.coalesce("tag", F.lit(""))))
     rows = refs.withColumn("key", merge_key()).withColumn("ext", ext)
-    seen = {"_by_mime": types.type_of_mime_col(F.coalesce("data_mime", "cdn.mime")), "_by_ext": types.type_of_ext_col(F.col("ext"))}
-    kind = types.classified(F.col("_by_mime"), F.col("_by_ext"), context, hint)
-    return rows.withColumns(seen).withColumn("type", kind).drop(*seen)
+    return types.with_type(rows, F.coalesce("data_mime", "cdn.mime"), F.col("ext"), context, hint)
 
 
 def merge_references(refs: DataFrame, group: str = "page_id") -> DataFrame:

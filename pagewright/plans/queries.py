@@ -264,8 +264,8 @@ def ext_and_type_of_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with r as ({views.REFS}) select seq, case when hint in ('image', 'icon') then
     case when ext = 'svg' and hint = 'image' then 'vector' when ext = 'ico' then 'icon' else hint end else (case {_KINDS} else 'other' end) end as type from r""")
 def classify_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit("")
-    return views.refs(spark, sf_dir).select("seq", types.classify_col(none, F.col("ext"), F.concat(F.lit("<"), "tag"), F.col("hint")).alias("type"))
+    context = F.concat(F.lit("<"), "tag")
+    return types.with_type(views.refs(spark, sf_dir), F.lit(""), F.col("ext"), context, F.col("hint")).select("seq", "type")
 
 
 @query(f"""with u as ({views.URLS}) select p_partkey, concat(regexp_extract(url, '^https?://([^/?#]*)', 1),
