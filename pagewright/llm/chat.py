@@ -12,7 +12,8 @@ error ``cycle``; references to unknown calls are the error ``unknown reference``
 arguments give ``invalid arguments``, unknown tools ``unknown tool``. Rows with a null conversation or identifier are no calls or
 results. Further columns are not read.
 
-A level takes one join over the calls that are still open, so rounds are as many as the longest chain.
+Chains of calls that refer to one other each are followed by pointer jumping, in logarithmically many joins; only calls
+that refer to several take a round a level.
 """
 
 from __future__ import annotations
@@ -100,21 +101,44 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): the longest chain of edges (node, needs) below each node; null on or above a cycle."""
-    done = keep(nodes.join(edges, "node", "left_anti").select("node", F.lit(0).alias("level")), "level")
-    last, waiting = done, keep(edges.withColumn("at", F.lit(0)), "edges")
-    while not last.isEmpty() and not waiting.isEmpty():
+    """(node, level): the longest chain of edges (node, needs) below each node; null on or above a cycle.
+
+    Nodes that need just one other are chains, which pointer jumping follows in rounds as many as the logarithm of their
+    length, to the first node below that needs none or several. Only those are then levelled one round a level.
+    """
+    edges = keep(edges.distinct(), "edges")
+    single = edges.groupBy("node").agg(F.count("*").alias("n"), F.min("needs").alias("to")).where("n = 1")
+    jumps = keep(single.select("node", "to", F.lit(1).cast("long").alias("steps")), "jumps")
+    for _ in range(jumps.count().bit_length() + 1):
+        onward = jumps.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
+        if jumps.join(onward, "to", "left_semi").isEmpty():
+            break
+        nxt = jumps.join(onward, "to", "left")
+        jumps = keep(nxt.select("node", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "jumps")
+    ends = jumps.select(F.col("node").alias("needs"), "to", "steps")
+    anchors = nodes.join(jumps, "node", "left_anti").select("node")
+    several = edges.join(jumps.select("node"), "node", "left_anti").join(ends, "needs", "left")
+    several = several.select("node", F.coalesce("to", "needs").alias("needs"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    several = several.groupBy("node", "needs").agg(F.max("steps").alias("steps"))
+    done = _anchor_levels(anchors, several)
+    on_chains = jumps.join(done.withColumnRenamed("node", "to"), "to").select("node", (F.col("level") + F.col("steps")).alias("level"))
+    return nodes.join(done.unionByName(on_chains), "node", "left")
+
+
+def _anchor_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level) of nodes that edges (node, needs, steps) lead down from, one round a level; nodes on cycles are missing."""
+    done = keep(nodes.join(edges, "node", "left_anti").select("node", F.lit(0).cast("long").alias("level")), "level")
+    last, waiting = done, keep(edges.withColumn("at", F.lit(0).cast("long")), "edges")
+    while not waiting.isEmpty() and not last.isEmpty():
         met = last.select(F.col("node").alias("needs"), "level")
         seen = waiting.join(met, "needs", "left")
-        per_node = seen.groupBy("node").agg(
-            F.count_if(F.col("level").isNull()).alias("open"), F.max(F.greatest("at", F.coalesce("level", F.lit(0)))).alias("at")
-        )
+        reached = F.coalesce(F.col("level") + F.col("steps"), F.lit(0))
+        per_node = seen.groupBy("node").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.greatest("at", reached)).alias("at"))
         last = keep(per_node.where("open = 0").select("node", (F.col("at") + 1).alias("level")), "level")
         still = per_node.where("open > 0").select("node", "at")
-        left = seen.where("level is null").select("node", "needs").join(still, "node")
-        waiting = keep(left, "edges")
+        waiting = keep(seen.where("level is null").select("node", "needs", "steps").join(still, "node"), "edges")
         done = done.unionByName(last)
-    return nodes.join(done, "node", "left")
+    return done
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -102,3 +102,23 @@ def test_embedded_calls(spark):
     assert calls == [("a", "ping", '{"k":[1,2]}', 1, 0), ("b", "ping", "{}", 1, 1)]
     assert [(r["call_id"], r["content"]) for r in chat.embedded_results(messages).where("call_id is not null").collect()] == [("a", "ok")]
     assert chat.exchange_calls(messages).count() == 1 and chat.exchange_results(messages).count() == 3
+
+
+def test_levels_of_graphs(spark):
+    import random
+
+    rng = random.Random(8)
+    edges = [(f"c{i}", f"c{i - 1}") for i in range(1, 70)] + [("m", "c5"), ("m", "c40"), ("m2", "m"), ("top", "m2"), ("top", "c69"), ("k1", "k2"), ("k2", "k3"), ("k3", "k1"), ("above", "k1"), ("both", "k1"), ("both", "c1")]
+    edges += [(f"r{i}", f"r{rng.randrange(i)}") for i in range(1, 40) for _ in range(rng.choice([1, 1, 2, 3]))]
+    nodes = sorted({x for e in edges for x in e} | {"alone"})
+    below = {n: {b for a, b in edges if a == n} for n in nodes}
+
+    def level(n, path=()):
+        if n in path:
+            return None
+        found = [level(b, (*path, n)) for b in below[n]]
+        return None if None in found else max((f + 1 for f in found), default=0)
+
+    df = spark.createDataFrame([(n,) for n in nodes], "node string")
+    found = {r["node"]: r["level"] for r in chat.levels(df, spark.createDataFrame(edges, "node string, needs string")).collect()}
+    assert found == {n: level(n) for n in nodes}
