@@ -34,6 +34,7 @@ TILE = 1024
 #: Axes per block of partial products.
 BLOCK = 16
 SLACK = 1e-9
+SUMMANDS = 8
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,10 +51,25 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"dim": pa.array(dims, pa.int32()), "sums": pa.array([sums[d].tobytes() for d in dims])})
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One matrix per dimension of those that a task gets."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for dim, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[dim] = sums.get(dim, 0) + np.frombuffer(part)
+    if sums:
+        yield pa.RecordBatch.from_pydict({"dim": pa.array(list(sums), pa.int32()), "sums": pa.array([m.tobytes() for m in sums.values()])})
+
+
 def principal_axes(points: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension the axes as columns, by falling share of the sums of squares."""
+    """For each dimension the axes as columns, by falling share of the sums of squares.
+
+    Matrices are added in two rounds, so that the driver gets at most SUMMANDS of a dimension, whatever the number of tasks.
+    """
     axes: dict[int, np.ndarray] = {}
-    for row in points.select("vector").mapInArrow(_moments, "dim int, sums binary").toLocalIterator():
+    schema = "dim int, sums binary"
+    parts = points.select("vector").mapInArrow(_moments, schema).repartition(SUMMANDS).mapInArrow(_added, schema)
+    for row in parts.toLocalIterator():
         part = np.frombuffer(row["sums"]).reshape(row["dim"], row["dim"])
         axes[row["dim"]] = axes.get(row["dim"], 0) + part
     return {d: np.linalg.eigh(m)[1][:, ::-1] for d, m in axes.items()}
