@@ -30,6 +30,8 @@ BASE_RULES = (
     ("org", "/es/", "block"),
 )
 LABEL = "\x00block"
+#: Slices that the pages of one token set are dealt over.
+SLICES = 32
 #: Rules up to which the index is broadcast; a larger one is joined by a shuffle.
 BROADCAST_RULES = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -140,7 +142,10 @@ def judge(
         fits = under & F.col("path").startswith(path)
         rule = F.when(fits, host + path).otherwise(rule)
         verdict = F.when(fits, what).otherwise(verdict)
-    judged = rows.join(hits, "key", "left")
+    # A site may hold a third of all pages, so its rows are dealt over slices; what they meet is a row per token set.
+    sliced = hits.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("id", "path"), F.lit(SLICES)).cast("int"))
+    judged = rows.join(sliced, ["key", "slice"], "left")
     mined = F.when(F.col("n_rules") > 0, "block").otherwise("allow")
     return judged.select(
         F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, mined).alias("verdict"),
