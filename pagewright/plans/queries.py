@@ -480,7 +480,7 @@ def family_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _families(spark, sf_dir).select("idx", "family", "family_size", "family_best", "family_of")
 
 
-@query(f"{_FAMILY} select count(*) as groups, sum(n - 1)::bigint as collapsed from z")
+@query(f"{_FAMILY} select count(*) as groups, coalesce(sum(n - 1), 0)::bigint as collapsed from z")
 def family_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.family_totals(_families(spark, sf_dir))
 
