@@ -101,14 +101,17 @@ def profiled(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts (fp, text); a text that has another fingerprint only shares its id, and is left out."""
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
-            sets = list(shingle_sets(part.column("text"), size))
+            found = zip(part.column("fp").to_pylist(), shingle_sets(part.column("text"), size), strict=True)
+            own = [(fp, h) for fp, h in found if print_of(h) == fp]
+            sets = [h for _, h in own]
             vectors = [count_vector(h) for h in sets]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "fp": part.column("fp"),
+                    "fp": pa.array([fp for fp, _ in own], pa.int64()),
                     "n": pa.array([len(h) for h in sets], pa.int64()),
                     "vec": pa.array([v.tobytes() for v in vectors], pa.binary()),
                     "width": pa.array([v.itemsize for v in vectors], pa.int32()),

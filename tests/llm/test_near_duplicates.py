@@ -84,6 +84,14 @@ def test_empty_table_null_and_repeated_ids(spark):
     assert found == [(-1, 2, 5), (5, 2, 5), (5, 2, 5), (7, 0, 7)]
 
 
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{m}{k}" for k in range(60)) for m in "abc")
+    near = lambda t: t.replace("30", "x")
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, c), (4, near(c)), (4, near(c)), (5, c + " end")]
+    found = sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 4)]
+
+
 def test_keys_of_linked_sets_meet():
     rng = np.random.Generator(np.random.PCG64(4))
     for _ in range(400):
