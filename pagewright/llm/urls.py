@@ -81,7 +81,7 @@ def mined_rules(labelled: DataFrame, support: float = 0.0005, confidence: float
     floor = max(least, support * total)
     token = F.explode("tokens").alias("token")
     counts = rows.select(token, "blocked").groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("b"))
-    useful = counts.where((F.col("b") >= floor) & (F.col("b") / F.col("n") >= 0.5 * blocked / total)).select("token", "n")
+    useful = counts.where(F.col("b") >= floor).select("token", "n")
     useful = keep(useful, "tokens")
     if useful.limit(1).count() == 0:
         return empty

@@ -1,6 +1,8 @@
 """URL rules and tool-call linking against plain Python."""
 
 import json
+from collections import Counter
+from itertools import combinations
 
 from pagewright.llm import chat, urls
 
@@ -64,6 +66,26 @@ def test_mined_rules_reach_support_and_confidence(spark):
         assert r["n_rules"] == sum(met) and r["verdict"] == ("block" if any(met) else "allow")
 
 
+def test_mined_rules_are_complete_with_a_hot_clean_host(spark):
+    rows = [(f"http://hot.org/{'promo' if i < 17 else 'news'}/{i}", i < 17) for i in range(333)]
+    rows += [(f"http://h{i % 10}.net/promo/{i}", i < 30) for i in range(100)]
+    rows += [(f"http://h{i % 7}.com/{'casino' if i < 153 else 'text'}/{i}", i < 153) for i in range(567)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    every, bad = Counter(), Counter()
+    for r in labelled.select(urls.tokens_of(labelled["url"]).alias("t"), "blocked").collect():
+        for k in range(1, len(r["t"]) + 1):
+            for part in combinations(sorted(r["t"]), k):
+                every[part] += 1
+                bad[part] += r["blocked"]
+    held = {frozenset(p): n / every[p] for p, n in bad.items() if n >= 5 and n / every[p] >= 0.8}
+    expected = {p: c for p, c in held.items() if not any(frozenset(q) in held for k in range(1, len(p)) for q in combinations(p, k))}
+    found = urls.mined_rules(labelled)
+    assert {frozenset(r["tokens"]): round(r["confidence"], 9) for r in found.collect()} == {p: round(c, 9) for p, c in expected.items()}
+    assert frozenset({"d:hot", "p:promo"}) in expected
+    page = spark.createDataFrame([(1, "http://hot.org/promo/900"), (2, "http://hot.org/news/900")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(page, found).collect()} == {1: "block", 2: "allow"}
+
+
 SCHEMAS = [("add", "a", "integer", True), ("add", "b", "number", True), ("add", "note", "string", False), ("ping", None, None, None)]
 
 
