@@ -47,15 +47,24 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{12}", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", r"[0-9a-f]{32}", 0, 32),
 )
-#: What version 1 of the rules finds beside the base kinds.
+_KEY = r"[A-Z0-9 ]*+(?<=PRIVATE KEY|PRIVATE KEY BLOCK)-----"
+#: Between the lines of a key: white space, marks of quoting and escaped line ends.
+_GAP = r"(?:[\s>#*|\"',;]|\\[nrt])*+"
+_LINE = r"[A-Za-z0-9+/=]{16,}+"
+_LAST = r"[A-Za-z0-9+/=]++(?=[ \t\"',;]*+(?:[\r\n]|\\[nr]|$))"
+_BODY = rf"(?:(?:{_GAP}{_LINE})++(?:{_GAP}{_LAST})?+|{_GAP}{_LAST})"
+#: A key up to its END; without one, the base64 lines that follow, with header lines before them.
+_PEM = rf"-----BEGIN {_KEY}(?:(?:(?!-----)[\s\S])*+-----END {_KEY}|(?:{_GAP}[A-Z][A-Za-z-]*+:\x20[^\r\n\\]*+)*+{_BODY})?+"
+#: What this version of the rules finds beside the base kinds.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _PEM, rf"-----BEGIN {_KEY}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]+\.eyJ", 0, 32),
     Rule("prefixed", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_)[A-Za-z0-9_-]+", r"gh[pousr]_|glpat-|xox[abprs]-|sk_live_", 0, 20),
     Rule("login", r"://[A-Za-z0-9._%+-]+:([^\x00-\x20@/:]+)@", r"://[A-Za-z0-9._%+-]+:[^\x00-\x20@/:]+@", 1, 3),
 )
 RULES = BASE_RULES + MORE_RULES
-RULES_VERSION = 1
+#: Raised with every change of the rules, so that ledgers of older ones are not used. Version 1 ended keys with their BEGIN line.
+RULES_VERSION = 3
 
 LEDGER_SCHEMA = "blob binary, rules_version int, spans array<struct<start:long,kind_no:int,kind:string,end:long>>"
 

@@ -98,6 +98,40 @@ def test_redaction(spark):
     assert out == {1: "é [SECRET] and [SECRET].", 2: "plain", 3: "[SECRET]", 4: None}
 
 
+def test_redaction_leaves_no_key_body(spark):
+    rng = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    lines = ["".join(rng.choice(chars) for _ in range(64)) for _ in range(60)] + ["Zx9Qk3=="]
+    body = "\n".join(lines)
+    head, end = "-----BEGIN {}-----", "-----END {}-----"
+    rsa, pgp = "RSA PRIVATE KEY", "PGP PRIVATE KEY BLOCK"
+    texts = [
+        f"a {head.format(rsa)}\n{body}\n{end.format(rsa)} b",
+        f"a {head.format('PRIVATE KEY')}\r\n{body}\r\n{end.format('PRIVATE KEY')} b",
+        f"a {head.format(pgp)}\nVersion: GnuPG v1\n\n{body}\n=aB3d\n{end.format(pgp)} b",
+        f"a {head.format(rsa)}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n{end.format(rsa)} b",
+        'a ' + f"{head.format(rsa)}\n{body}\n{end.format(rsa)}".replace("\n", "\\n") + " b",
+        f"a {head.format(rsa)} {' '.join(lines)} {end.format(rsa)} b",
+        f"a {head.format(rsa)}\n{body}\n b",
+        f"a {head.format(rsa)}\nProc-Type: 4,ENCRYPTED\n\n{body}\n\n b c",
+        f"a {head.format(rsa)}\n{body}\n{head.format(rsa)}\n{body}\n{end.format(rsa)} b",
+        f"a {head.format(rsa)} is how a key begins b",
+        "a " + head.format(rsa) + " " + "x y. " * 30000 + "b",
+        f"a {head.format(rsa)}\n" + (body + "\n") * 100 + f"{end.format(rsa)} b",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.findings(docs, secrets.update_ledger(docs), ["doc_id", "text"])
+    from pyspark.sql import functions as F
+
+    out = {r["doc_id"]: r["t"] for r in found.select("doc_id", secrets.redacted(F.col("text"), F.col("found_spans")).alias("t")).collect()}
+    for i, text in out.items():
+        assert text.startswith("a [SECRET]") and text.endswith(" b" if i not in (7, 10) else "b c" if i == 7 else "b"), i
+        assert not any(line in text for line in lines), i
+        assert "PRIVATE KEY" not in text, i
+    assert {i: out[i] for i in (0, 1, 2, 3, 4, 5, 11)} == dict.fromkeys((0, 1, 2, 3, 4, 5, 11), "a [SECRET] b")
+    assert out[9] == "a [SECRET] is how a key begins b" and len(out[10]) == len("a [SECRET] ") + 5 * 30000 + 1
+
+
 def test_leaks_equal_all_pairs(spark):
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(60)}"
