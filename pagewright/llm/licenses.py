@@ -1,6 +1,7 @@
 """License scanning: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; blocks and templates are sets of words (ASCII letters and digits, A-Z
+A block is a line of a text, or a window of as many consecutive words as the template has, whatever line breaks
+and comment marks stand between them; blocks and templates are sets of words (ASCII letters and digits, A-Z
 lower-cased, and all characters above ASCII). A block meets a template when it holds at least
 ``share`` of the template's distinct words.
 
@@ -12,6 +13,9 @@ lower-cased, and all characters above ASCII). A block meets a template when it h
    block, the overlap is at most 1 + min(t - i - 1, b - j - 1).
 5. Surviving pairs are verified by intersection.
 
+Windows are found around the prefix words: each that meets the template lies among the words on both sides of one.
+The length filter is put to these, and then all windows in them are compared.
+
 Beside it, base phrases are found wherever their words stand consecutively. DataFrame functions only.
 The join works on distinct texts by their SHA-256, so copies are joined once.
 
@@ -93,7 +97,8 @@ def template_labels(texts: DataFrame, templates: DataFrame, share: float = 0.8)
     """(blob, labels, score) of the texts (blob, text) with a block that meets a template."""
     spark = texts.sparkSession
     sets = templates.distinct().select(
-        F.xxhash64("label", "template").alias("t_id"), "label", F.array_distinct(words_of(F.col("template"))).alias("words")
+        F.xxhash64("label", "template").alias("t_id"), "label", F.array_distinct(words_of(F.col("template"))).alias("words"),
+        F.size(words_of(F.col("template"))).alias("n"),
     )
     sets = sets.where(F.size("words") > 0)
     listed = sets.limit(MOST_TEMPLATES + 1).collect()
@@ -113,6 +118,7 @@ def template_labels(texts: DataFrame, templates: DataFrame, share: float = 0.8)
         need = math.ceil(len(ranks) * share - 1e-9)
         index += [(r["t_id"], r["label"], rank, i, len(ranks), need, ranks) for i, rank in enumerate(ranks[: len(ranks) - need + 1])]
     by_rank = {k: w for w, k in order.items()}
+    lengths = {r["t_id"]: r["n"] for r in listed}
     first_words = sorted({by_rank[row[2]] for row in index})
     index_df = spark.createDataFrame(index, "t_id long, label string, rank int, i int, t int, need int, ranks array<int>")
     ranked = spark.createDataFrame(list(order.items()), "word string, rank int")
@@ -132,6 +138,22 @@ def template_labels(texts: DataFrame, templates: DataFrame, share: float = 0.8)
     common = F.size(F.array_intersect("m.own", "m.ranks"))
     found = first.where("m.room >= m.need").where(common >= F.col("m.need"))
     found = found.select("blob", "m.label", (common / F.col("m.t")).alias("share"))
+
+    starts = [
+        (by_rank[rank], label, len(ranks), need, [by_rank[k] for k in ranks], lengths[t_id])
+        for t_id, label, rank, _, _, need, ranks in index
+    ]
+    starts_df = spark.createDataFrame(starts, "word string, label string, t int, need int, wanted array<string>, n int")
+    broken = texts.where(F.col("text").contains("\n") & F.col("text").rlike(holds)).select("blob", words_of(F.col("text")).alias("words"))
+    near = broken.select("blob", "words", F.posexplode("words").alias("at", "word")).where(F.col("word").isin(first_words))
+    near = near.join(F.broadcast(starts_df), "word")
+    left = F.greatest(F.col("at") - F.col("n") + 1, F.lit(0))
+    near = near.select("blob", "label", "t", "need", "wanted", "n", F.slice("words", left + 1, F.col("at") + F.col("n") - left).alias("around"))
+    near = near.where(F.size(F.array_intersect("wanted", "around")) >= F.col("need"))
+    places = F.sequence(F.lit(0), F.greatest(F.size("around") - F.col("n"), F.lit(0)))
+    held = F.transform(places, lambda k: F.size(F.array_intersect(F.col("wanted"), F.slice(F.col("around"), k + 1, F.col("n")))))
+    windows = near.select("blob", "label", "t", "need", F.array_max(held).alias("held")).where("held >= need")
+    found = found.unionByName(windows.select("blob", "label", (F.col("held") / F.col("t")).alias("share")))
     return found.groupBy("blob").agg(F.collect_set("label").alias("labels"), F.max("share").alias("score"))
 
 

@@ -46,6 +46,38 @@ def test_licenses(spark):
     assert {r["labels"] for r in licenses.scan_licenses(docs, none).collect()} >= {"", "reserved"}
 
 
+def test_wrapped_notices(spark):
+    import textwrap
+
+    notices = [(label, t) for label, t in licenses.TEMPLATES if len(t) > 70]
+    texts = []
+    for _, t in notices:
+        texts += ["\n".join(textwrap.wrap(t, 70)), "x = 1\n" + "\n".join(f" * {line}" for line in textwrap.wrap(t, 40)) + "\nint y;", "\r\n".join(t.split())]
+    rng = random.Random(3)
+    pool = [w for _, t in notices for w in WORD.findall(low(t))] + ["x", "y"]
+    texts += ["\n".join(" ".join(rng.choice(pool) for _ in range(6)) for _ in range(30)) for _ in range(10)]
+    for _, t in notices:
+        parts = WORD.findall(low(t))
+        for k in range(1, 9):
+            some = [w if rng.random() > k / 30 else "other" for w in parts]
+            texts.append("a b\n" + "\n".join(some) + "\nc d")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    for i, text in enumerate(texts):
+        words, met = WORD.findall(low(text)), []
+        for label, t in licenses.TEMPLATES:
+            asked = WORD.findall(low(t))
+            blocks = [WORD.findall(low(line)) for line in text.split("\n")]
+            blocks += [words[k : k + len(asked)] for k in range(max(1, len(words) - len(asked) + 1))]
+            best = max(len(set(asked) & set(b)) for b in blocks) / len(set(asked))
+            met += [(best, label)] if best >= 0.8 - 1e-9 else []
+        base = set(filter(None, found[i]["base_labels"].split(",")))
+        assert found[i]["labels"] == ",".join(sorted(base | {label for _, label in met})), i
+        assert abs(found[i]["score"] - (1.0 if base else max((m[0] for m in met), default=0.0))) < 1e-9, i
+    for k, (label, _) in enumerate(notices):
+        assert all(label in found[3 * k + j]["labels"].split(",") for j in range(3))
+
+
 PLAIN = {
     "assign": (re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 8),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
