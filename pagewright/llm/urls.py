@@ -54,7 +54,7 @@ def tokens_of(url: Column) -> Column:
     query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), F.lit(""))
     labels = F.split(host, r"\.")
     words = F.split(host, r"[.\-_]")
-    segments = F.transform(F.split(path, "[/._-]"), lambda s: F.when(s.rlike("^[0-9]+$"), F.lit("<n>")).otherwise(F.substring(s, 1, 64)))
+    segments = F.transform(F.split(path, "[/._-]"), lambda s: F.when(s.rlike("^[0-9]+$"), F.lit("<n>")).otherwise(s))
     keys = F.transform(F.split(query, "[&;]"), lambda p: F.substring_index(p, "=", 1))
     parts = [(labels, "d:"), (words, "h:"), (segments, "p:"), (keys, "q:")]
     return F.array_distinct(F.concat(*(_marked(part, mark) for part, mark in parts)))

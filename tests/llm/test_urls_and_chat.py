@@ -86,6 +86,13 @@ def test_mined_rules_are_complete_with_a_hot_clean_host(spark):
     assert {r["page_id"]: r["verdict"] for r in urls.judge(page, found).collect()} == {1: "block", 2: "allow"}
 
 
+def test_long_segments_stay_apart(spark):
+    long = "a" * 64
+    found = spark.createDataFrame([(f"http://x.org/{long}b/{long}c/{long}",)], "url string")
+    tokens = found.select(urls.tokens_of(found["url"]).alias("t")).first()["t"]
+    assert {f"p:{long}b", f"p:{long}c", f"p:{long}"} <= set(tokens)
+
+
 SCHEMAS = [("add", "a", "integer", True), ("add", "b", "number", True), ("add", "note", "string", False), ("ping", None, None, None)]
 
 
