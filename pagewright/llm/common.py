@@ -9,11 +9,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, tempfile.TemporaryDirectory] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Shuffle files of a query go as soon as it has ended; nothing reads them once its table is written.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -30,15 +36,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[master].name
 
 
+@contextmanager
+def _own_shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_FREE)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the scratch folder and reads it back."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    with _own_shuffles_freed(spark):
+        df.write.parquet(path)
+    kept = spark.read.schema(schema).parquet(path)
+    _PATHS[kept] = path
+    return kept
 
 
+def drop(*tables: DataFrame) -> None:
+    """Removes kept tables. Whatever was made of them must have been kept itself by then."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -66,7 +91,8 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        e = keep(small, "stars")
+        before, e = e, keep(small, "stars")
+        drop(before)
         several = e.groupBy("hi").count().where("count > 1").limit(1).count()
         if several == 0 and e.join(e.select(F.col("hi").alias("lo")), "lo", "left_semi").limit(1).count() == 0:
             break

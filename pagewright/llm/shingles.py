@@ -39,6 +39,8 @@ def word_hashes(
     ``data`` is a uint8 array; text i is ``data[offsets[i]:offsets[i + 1]]``. ``outside`` marks
     the bytes between words. With ``head``, hashes of the words' first bytes come third.
     """
+    if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+        return _long_word_hashes(data, outside, head)
     counts = np.zeros(len(offsets) - 1, np.int64)
     nothing = (np.zeros(0, np.uint64), counts) + ((np.zeros(0, np.uint64),) if head else ())
     if len(data) == 0:
@@ -68,6 +70,45 @@ def word_hashes(
     return words, counts, mix(~np.add.reduceat(terms, start))
 
 
+def _long_word_hashes(data: np.ndarray, outside: np.ndarray, head: int | None) -> tuple[np.ndarray, ...]:
+    """Hashes of one long text by parts that end between words, so that the places take bounded memory."""
+    parts, at = [], 0
+    while at < len(data):
+        to = _next_gap(data, outside, at + SLICE_BYTES)
+        begin = at
+        if to - at > 2 * SLICE_BYTES:  # it ends with a word of more than a part
+            gaps = np.flatnonzero(outside[data[at : at + SLICE_BYTES]])
+            begin = at + int(gaps[-1]) + 1 if len(gaps) else at
+            parts.append(word_hashes(data[at:begin], np.array([0, begin - at]), outside, head))
+            parts.append(_one_word_hash(data[begin:to], head))
+        else:
+            parts.append(word_hashes(data[at:to], np.array([0, to - at]), outside, head))
+        at = to
+    return tuple(sum(p) if k == 1 else np.concatenate(p) for k, p in enumerate(zip(*parts, strict=True)))
+
+
+def _next_gap(data: np.ndarray, outside: np.ndarray, at: int) -> int:
+    while at < len(data):
+        gaps = np.flatnonzero(outside[data[at : at + SLICE_BYTES]])
+        if len(gaps):
+            return at + int(gaps[0])
+        at += SLICE_BYTES
+    return len(data)
+
+
+def _one_word_hash(data: np.ndarray, head: int | None) -> tuple[np.ndarray, ...]:
+    total, power = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for at in range(0, len(data), SLICE_BYTES):
+        part = data[at : at + SLICE_BYTES]
+        powers = np.cumprod(np.concatenate([power, np.full(len(part), _PRIME)]), dtype=np.uint64)
+        total += (_TABLE[part] * powers[:-1]).sum(dtype=np.uint64)
+        power = powers[-1:]
+    found = mix(total + np.uint64(len(data))), np.ones(1, np.int64)
+    if head is None:
+        return found
+    return *found, mix(~(_TABLE[data[:head]] * np.cumprod(np.concatenate([[np.uint64(1)], np.full(head - 1, _PRIME)]), dtype=np.uint64)).sum(dtype=np.uint64, keepdims=True))
+
+
 def slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Runs of whole texts of a binary column as (bytes, offsets), of about SLICE_BYTES."""
     column = column.cast(pa.large_binary())

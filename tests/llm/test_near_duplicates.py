@@ -8,7 +8,9 @@ import pytest
 
 from pagewright.llm.common import components
 from pagewright.llm.embedding_dedup import linked_pairs, near_duplicates
-from pagewright.llm.ngram_jaccard import CountRTree, count_vector, group_keys, jaccard_components, most_difference
+from pagewright.llm import ngram_jaccard
+from pagewright.llm.ngram_jaccard import CountRTree, count_vector, distinct_prints, group_keys, jaccard_components, most_difference, spanning_links
+from pagewright.llm.shingles import shingle_sets, word_hashes
 
 
 def shingles(text, size):
@@ -70,11 +72,93 @@ def test_components_equal_all_pairs(spark, size, percent):
     assert found == {i: (len(sets[i]), expected[i]) for i in range(len(texts))}
 
 
-def test_hot_group_of_near_copies_gives_no_pairs_twice(spark):
-    base = [f"w{k}" for k in range(120)]
-    rows = [(i, " ".join([*base[: 10 + i % 40], f"z{i % 7}", *base[11 + i % 40 :]])) for i in range(300)]
-    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(found) == 300 and {r["component_id"] for r in found} == {0}
+def test_tiles_of_a_hot_key_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "TILE", 5)
+    rng = random.Random(8)
+    texts = near_copies(rng, 6, 30, 40)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t, 4) for t in texts]
+    linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    assert found == dict(enumerate(brute(list(range(len(texts))), linked)))
+
+
+def test_links_of_a_large_group_stay_fewer_than_its_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(2000):
+        text = list(base)
+        for _ in range(2):
+            text[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
+    given = []
+    whole = ngram_jaccard.components
+    monkeypatch.setattr(ngram_jaccard, "components", lambda edges: (given.append(edges.count()), whole(edges))[1])
+    found = jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {0} and len(found) == 2000
+    assert sum(given) <= 2 * len(texts)
+
+
+def test_large_tiles_under_keys_are_searched_again(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "spanning_links", lambda *_: [])  # nothing is contracted at hubs
+    rng = random.Random(10)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(160):
+        text = list(base)
+        for _ in range(2):
+            text[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t, 4) for t in texts]
+    near = lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    assert found == dict(enumerate(brute(list(range(len(texts))), near)))
+
+
+def test_spanning_links_reach_what_all_links_reach():
+    rng = np.random.Generator(np.random.PCG64(11))
+    for m in (2, 3, 9, 120):
+        bases = rng.integers(0, 2**64, (1 + m // 20, 80), dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(bases[k % len(bases)])[: 80 - d], rng.integers(0, 2**64, d, dtype=np.uint64)])) for k, d in enumerate(rng.integers(0, 14, m))]
+        comps = [int(c) for c in rng.integers(0, 2 * m, m)]
+        for sides in ([0] * m, [-1 if k % 3 else 1 for k in range(m)]):
+            def linked(i, j):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                meet = sides[i] != sides[j] or sides[i] == 0
+                return comps[i] == comps[j] or (meet and 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common))
+
+            links = spanning_links(sets, comps, sides, 85)
+            assert len(links) < m and all(linked(i, j) for i, j in links)
+            spans = lambda i, j: comps[i] == comps[j] or (i, j) in links or (j, i) in links
+            assert brute(list(range(m)), spans) == brute(list(range(m)), linked)
+
+
+def test_texts_without_an_id_bridge_others(spark):
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join([*(f"x{k}" for k in range(n)), *base[n:]]) for n in (0, 4, 8)]
+    rows = [(1, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (None, " ".join(base[50:])), (None, " ".join(base[50:]) + " y")]
+    found = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(0, 0), (0, 0), (0, 1), (0, 1), (1, 1), (3, 1)]
+
+
+def test_equal_64_bit_prints_stay_apart(spark):
+    rows = [(1, 7, 5), (2, 7, 5), (3, 7, 6), (4, 8, 1)]
+    found = {r["id"]: r["fp"] for r in distinct_prints(spark.createDataFrame(rows, "id long, fp long, more long")).collect()}
+    assert found[1] == found[2] == 7 and found[4] == 8 and found[3] not in (7, 8)
+
+
+def test_long_texts_hash_by_parts_as_at_once(monkeypatch):
+    from pagewright.llm import shingles as module
+
+    text = (" ".join(f"word{k % 977}" for k in range(3000)) + " " + "y" * 9000 + "  tail " + "z" * 5000).encode()
+    data, ends = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    at_once = word_hashes(data, ends, head=5)
+    monkeypatch.setattr(module, "SLICE_BYTES", 1000)
+    for x, y in zip(at_once, word_hashes(data, ends, head=5), strict=True):
+        assert x.tolist() == y.tolist()
+    import pyarrow as pa
+
+    assert len(next(shingle_sets(pa.array([text]), 4))) == len(set(shingles(text.decode(), 4)))
 
 
 def test_empty_table_null_and_repeated_ids(spark):
@@ -112,9 +196,11 @@ def test_tree_keeps_every_linked_pair():
     sets = [np.unique(np.concatenate([rng.permutation(base)[: 200 - d], rng.integers(0, 2**64, d, dtype=np.uint64)])) for d in rng.integers(0, 40, 150)]
     vectors = np.stack([np.frombuffer(count_vector(s).tobytes(), "u1") for s in sets])
     sizes = np.array([len(s) for s in sets])
-    tree = CountRTree(vectors, sizes, fanout=8)
-    i, j = tree.join(tree, 85)
-    pairs = set(zip(i.tolist(), j.tolist(), strict=True))
+    order = np.argsort(sizes, kind="stable")
+    sets, sizes = [sets[k] for k in order], sizes[order]
+    tree = CountRTree(vectors[order], sizes, fanout=8)
+    everything = np.ones(len(sets), bool)
+    pairs = {(x, int(y)) for x in range(len(sets)) for y in tree.reach(x, 85, everything)}
     for x in range(len(sets)):
         for y in range(len(sets)):
             common = len(np.intersect1d(sets[x], sets[y]))
