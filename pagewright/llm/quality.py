@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.shingles import slices, word_hashes
+from pagewright.llm.shingles import SLICE_BYTES, slices, word_hashes
 
 #: Hash buckets; the first STYLE of them are for byte frequencies.
 BITS = 20
@@ -35,6 +35,15 @@ _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def _byte_counts(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of 256 counts for each text; a text that is longer than a slice is counted by parts."""
+    if len(sizes) == 1:
+        parts = (data[at : at + SLICE_BYTES] for at in range(0, len(data), SLICE_BYTES))
+        return sum((np.bincount(p, minlength=256) for p in parts), np.zeros(256, np.int64))[None, :]
+    lines = np.repeat(np.arange(len(sizes)), sizes) * 256
+    return np.bincount(lines + data, minlength=256 * len(sizes)).reshape(-1, 256)
+
+
 def features(column: pa.Array) -> Iterator[np.ndarray]:
     """For each text of a binary column the sorted indices of its features; none without words."""
     for data, offsets in slices(column):
@@ -42,8 +51,7 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
         span = np.uint64((1 << BITS) - STYLE)
         both = np.stack([words % span, heads % span]).astype(np.int64) + STYLE
         sizes = np.diff(offsets)
-        lines = np.repeat(np.arange(len(sizes)), sizes) * 256
-        seen = np.bincount(lines + data, minlength=256 * len(sizes)).reshape(-1, 256)
+        seen = _byte_counts(data, sizes)
         upper = seen[:, 65:91].sum(axis=1, keepdims=True)
         digits = seen[:, 48:58].sum(axis=1, keepdims=True)
         marks = np.concatenate([seen[:, :48], seen[:, 58:65], seen[:, 91:97], seen[:, 123:128], upper, digits], axis=1)
