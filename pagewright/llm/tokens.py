@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import keep
+
 #: Chunks whose ids a worker keeps; beyond it the cache starts anew. It bounds memory, not results.
 MOST_CHUNKS = 400_000
 LONGEST_KEPT = 64
@@ -134,12 +136,13 @@ def context_limits(histogram: DataFrame, block: int = 512) -> DataFrame:
     tokens_at_least over texts of L or more tokens; truncated_total, the tokens left if
     every text is cut to L; docs_up_to, the rank that answers quantiles (the q-quantile
     is the least L with docs_up_to >= q * total). Between two lengths truncated_total grows
-    by the upper one's docs_at_least a token, so the rows answer every limit. An empty histogram
-    gives no rows.
+    by the upper one's docs_at_least a token, so the rows answer every limit (``at_limits``,
+    ``quantiles``). An empty histogram gives no rows.
 
-    Suffix sums run within blocks of lengths; only one row a block is summed across blocks.
+    Suffix sums run within blocks of lengths; only one row a block is summed across blocks. The histogram is
+    stored first, as both use it and texts are to be encoded once.
     """
-    h = histogram.withColumn("block", F.floor(F.col("length") / block)).withColumn(
+    h = keep(histogram, "histogram").withColumn("block", F.floor(F.col("length") / block)).withColumn(
         "tokens", F.col("length") * F.col("n_docs")
     )
     per_block = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
@@ -175,3 +178,16 @@ def context_limits(histogram: DataFrame, block: int = 512) -> DataFrame:
         "all_docs",
         "all_tokens",
     )
+
+
+def quantiles(limits: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, length): the least length that at least that share of the texts does not exceed. Shares are over 0 and at most 1."""
+    asked = limits.select("length", "docs_up_to", "all_docs", F.explode(F.array(*map(F.lit, shares))).alias("share"))
+    return asked.where(F.col("docs_up_to") >= F.col("share") * F.col("all_docs")).groupBy("share").agg(F.min("length").alias("length"))
+
+
+def at_limits(limits: DataFrame, windows: list[int]) -> DataFrame:
+    """(window, docs_over, truncated_total) for any context limits: texts longer than it, and the tokens left if texts are cut to it."""
+    asked = limits.select("*", F.explode(F.array(*(F.lit(w).cast("long") for w in windows))).alias("window"))
+    over, size = F.col("length") > F.col("window"), F.least("length", "window") * F.col("n_docs")
+    return asked.groupBy("window").agg(F.sum(F.when(over, F.col("n_docs")).otherwise(0)).alias("docs_over"), F.sum(size).alias("truncated_total"))
