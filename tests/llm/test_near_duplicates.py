@@ -227,7 +227,7 @@ def test_vectors_equal_all_pairs(spark):
     rows += [(200 + k, rows[0][1], rows[0][2]) for k in range(5)]
     odd = [(300, None, 1), (301, [0.0] * 24, 1), (302, [float("nan")] * 24, 1), (303, rows[0][1], None), (304, [None] * 24, 1), (305, [float("inf")] * 24, 0), (306, [1.0], 0), (307, [], 0)]
     df = spark.createDataFrame([(*r, "a") for r in rows + odd], "vec_id long, embedding array<double>, label int, copies string")
-    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df, tile=16).collect()}
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df, tile_bytes=16 * 24 * 8).collect()}
     linked = lambda i, j: rows[i][2] == rows[j][2] and cosine(rows[i][1], rows[j][1]) >= 0.93
     low = brute([r[0] for r in rows], linked)
     for i, r in enumerate(rows):
@@ -236,6 +236,26 @@ def test_vectors_equal_all_pairs(spark):
     assert all(found[r[0]] == (0, r[0], True) for r in odd)
 
 
+@pytest.mark.parametrize("tile_bytes", [1 << 24, 40 * 8 * 8, 7 * 8 * 8])
+def test_grids_of_several_axes_lose_nothing(spark, tile_bytes):
+    rng = np.random.Generator(np.random.PCG64(13))
+    bases = rng.normal(size=(14, 8))
+    x = bases[rng.integers(0, 14, 300)] + rng.normal(size=(300, 8)) * 0.35
+    rows = [(k, [float(c) for c in v], k % 2) for k, v in enumerate(x)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile_bytes=tile_bytes).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (np.arange(300)[:, None] % 2 == np.arange(300)[None, :] % 2)
+    low = brute(list(range(300)), lambda i, j: near[i, j])
+    assert found == {k: (int(near[k].sum()) - 1, low[k]) for k in range(300)}
+
+
+def test_null_and_repeated_vector_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a, 1), (None, b, 1), (None, b, 1), (7, b, 1), (7, c, 1), (None, [0.0, 1.0, 0.0], 1), (9, None, 1), (None, None, None)]
+    found = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=repr)
+    assert found == sorted([(5, 3, 5, True), (None, 3, 5, False), (None, 3, 5, False), (7, 3, 5, False), (7, 0, 7, True), (None, 0, None, True), (9, 0, 9, True), (None, 0, None, True)], key=repr)
+
+
 def test_partial_products_drop_nothing():
     rng = np.random.Generator(np.random.PCG64(6))
     a, b = rng.normal(size=(90, 50)), rng.normal(size=(80, 50))
