@@ -1,16 +1,18 @@
 """Packing of token sequences by non-negative least squares over the length histogram.
 
 1. Every text is encoded, closed by the end id and cut into full windows and one remainder.
-2. The histogram of piece lengths (at most ``window`` rows) goes to the driver. Length
+2. The histogram of piece lengths (at most ``window`` rows) goes to the driver. All length
    combinations of up to three pieces that fill a window exactly are enumerated; their repeat counts
-   x >= 0 minimise |A x - histogram| (multiplicative updates), and are rounded down to
-   what the histogram still holds. Greedy best fit packs the residual lengths, again by count.
+   x >= 0 minimise |A x - histogram| (multiplicative updates), and are rounded so that their running sum stays
+   the same, and to what the histogram still holds. A tenth of each count is left to greedy best fit, which packs the
+   residual lengths, again by count, and needs all lengths to choose from. Those of its sequences that are at most half full are
+   taken apart once more and put to combinations that fill a smaller power of two, which need no padding.
 3. The plan is a list of (combination, repeats), whose size depends on the window and not on the
    number of texts. Pieces of one length are ranked; ranks map to plan slots by binary search.
 
-Ranks are taken inside (length, slice), and slices are offset by counts, so that one very common length
-is spread over many tasks. Null texts count as empty and give one piece, the end id alone.
-Repeated ids and rows are packed like any others; a null id stays null. Further columns are not read.
+Ranks are taken inside (length, slice), with as many slices of a length as its count asks for, and slices are offset by
+counts, so that one very common length is spread over many tasks. Null texts count as empty and give one piece, the end
+id alone. Repeated ids and rows are packed like any others; a null id stays null. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import keep
 from pagewright.llm.tokens import encoder
 
-#: Slices that each length is ranked in.
-SLICES = 256
-#: The least piece of a combination of three is a multiple of this.
-GRID = 16
-UPDATES = 300
+#: Pieces of one length that are ranked together.
+SLICE = 50_000
+UPDATES = 100
+#: Share of the solution that is rounded; greedy packing has the rest.
+ROUNDED = 0.9
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int) -> Iterator[pa.RecordBatch]:
@@ -51,19 +53,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-def combinations(lengths: np.ndarray, window: int, grid: int = GRID) -> np.ndarray:
-    """(n, 3) ascending lengths that sum to the window; zeros stand for fewer pieces."""
-    there = np.zeros(window + 1, bool)
-    there[lengths] = True
-    there[0] = False
-    a = np.arange(window + 1)
-    pairs = a[(a <= window - a) & there & there[window - a]]
-    out = [np.stack([np.zeros_like(pairs), pairs, window - pairs], axis=1)]
-    for least in range(grid, window // 3 + 1, grid):
-        if there[least]:
-            b = np.arange(least, (window - least) // 2 + 1)
-            b = b[there[b] & there[window - least - b]]
-            out.append(np.stack([np.full_like(b, least), b, window - least - b], axis=1))
+def combinations(lengths: np.ndarray, total: int) -> np.ndarray:
+    """(n, 3) all ascending lengths, three at most, that sum to the total; zeros stand for fewer pieces."""
+    there = np.zeros(total + 1, bool)
+    there[lengths[lengths <= total]] = True
+    there[0] = True
+    out = [np.zeros((0, 3), np.int64)]
+    for least in np.flatnonzero(there[: total // 3 + 1]):
+        b = np.arange(least, (total - least) // 2 + 1)
+        b = b[there[b] & there[total - least - b]]
+        out.append(np.stack([np.full_like(b, least), b, total - least - b], axis=1))
     return np.concatenate(out)
 
 
@@ -72,36 +71,37 @@ def repeats(counts: np.ndarray, combos: np.ndarray, updates: int = UPDATES) -> n
     goal = counts.astype(float).copy()
     goal[0] = 0
     used = combos > 0
-    top = np.where(used, goal[combos], 0).sum(axis=1)
+    top = goal[combos].sum(axis=1)
     x = np.where(used, goal[combos], np.inf).min(axis=1) / max(1.0, len(combos) / max(1, len(counts)))
+    columns = [np.ascontiguousarray(c) for c in combos.T]
     for _ in range(updates):
-        now = np.bincount(combos.ravel(), np.repeat(x, 3), len(counts))
+        now = sum(np.bincount(c, x, len(counts)) for c in columns)
         now[0] = 0
-        x = x * top / np.maximum(np.where(used, now[combos], 0).sum(axis=1), 1e-12)
+        x = x * top / np.maximum(sum(now[c] for c in columns), 1e-12)
     return x
 
 
-def plan(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that use every piece of the histogram once; no lengths exceed the window."""
-    counts = np.zeros(window + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
-    out = [((window,), int(counts[window]))] if counts[window] else []
-    counts[window] = 0
-    combos = combinations(np.flatnonzero(counts), window)
-    if len(combos):
-        x = repeats(counts, combos)
-        for k in np.argsort(-x, kind="stable"):
-            if x[k] < 0.5:
-                break
-            parts = [int(p) for p in combos[k] if p]
-            most = min(int(counts[p]) // parts.count(p) for p in parts)
-            if n := min(most, int(x[k] + 0.5)):
-                out.append((tuple(parts), n))
-                for p in parts:
-                    counts[p] -= n
+def filled(counts: np.ndarray, total: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) of sequences that are exactly ``total`` long; their pieces are taken off the counts."""
+    combos = combinations(np.flatnonzero(counts), total)
+    if not len(combos):
+        return []
+    steps = np.floor(np.cumsum(ROUNDED * repeats(counts, combos)) + 0.5).astype(np.int64)
+    whole = np.diff(steps, prepend=0)
+    out = []
+    for k in np.flatnonzero(whole):
+        parts = [p for p in combos[k].tolist() if p]
+        if n := min(int(whole[k]), *(int(counts[p]) // parts.count(p) for p in parts)):
+            out.append((tuple(parts), n))
+            for p in parts:
+                counts[p] -= n
+    return out
+
+
+def greedy(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) by best fit, longest piece first, that use all that the counts hold."""
     left = {int(p): int(counts[p]) for p in np.flatnonzero(counts)}
-    order = sorted(left)
+    order, out = sorted(left), []
     while order:
         parts, gap = [], window
         while order:
@@ -121,6 +121,26 @@ def plan(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...],
     return out
 
 
+def plan(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) that use every piece of the histogram once; no lengths exceed the window."""
+    counts = np.zeros(window + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    out = filled(counts, window)
+    packed = greedy(counts, window)
+    out += [(parts, n) for parts, n in packed if 2 * sum(parts) > window]
+    counts[:] = 0
+    for parts, n in packed:
+        if 2 * sum(parts) <= window:
+            for p in parts:
+                counts[p] += n
+    total = 1 << window.bit_length()
+    while counts.any() and total > 1:
+        total //= 2
+        out += filled(counts, total) if total < window else []
+    return out + greedy(counts, window)
+
+
 def slots(found: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     """Columns length, first rank, first sequence, offset; ascending by length and rank."""
     taken: dict[int, int] = {}
@@ -160,15 +180,18 @@ def pack(
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = keep(base.mapInArrow(lambda it: _pieces(it, tokenizer, window, end_id), schema), "pieces")
-    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64("id", "start"), F.lit(SLICES)))
+    spark = docs.sparkSession
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    table = spark.sparkContext.broadcast(slots(plan(histogram, window)))
+    # A row for each length that occurs, the window's at most.
+    parts = spark.createDataFrame([(k, -(-n // SLICE)) for k, n in histogram.items()], "length long, parts long")
+    sliced = pieces.join(F.broadcast(parts), "length").withColumn("slice", F.pmod(F.xxhash64("id", "start"), F.col("parts"))).drop("parts")
     counts = keep(sliced.groupBy("length", "slice").agg(F.count("*").alias("n")), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = slots(plan(histogram, window))
 
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("length", "slice").orderBy("id", "start", "ids_crc32")
     ranked = sliced.withColumn("within", F.row_number().over(inside) - 1).join(first, ["length", "slice"])
     ranked = ranked.withColumn("rank", F.col("first") + F.col("within")).drop("slice", "first", "within")
-    out = ranked.mapInArrow(lambda it: _placed(it, table), schema + ", sequence_id long, offset long")
+    out = ranked.mapInArrow(lambda it: _placed(it, table.value), schema + ", sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

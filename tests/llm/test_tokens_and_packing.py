@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 from public_tokenizers import path as tokenizer_path
 from tokenizers import Tokenizer
 
+from pagewright.llm import packing
 from pagewright.llm.packing import combinations, pack, plan, repeats, slots
-from pagewright.llm.tokens import TextEncoder, context_limits, length_histogram
+from pagewright.llm.tokens import TextEncoder, at_limits, context_limits, length_histogram, quantiles
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 ENCODER, WHOLE = TextEncoder(PATH), Tokenizer.from_file(PATH)
@@ -40,10 +41,17 @@ def test_context_limits(spark):
         assert r["truncated_total"] == sum(min(x, n) for x in lengths)
         assert r["docs_up_to"] == sum(x <= n for x in lengths)
         assert (r["all_docs"], r["all_tokens"]) == (len(lengths), sum(lengths))
+    limits = context_limits(length_histogram(docs, PATH))
+    low = sorted(lengths)
+    found = {r["share"]: r["length"] for r in quantiles(limits, [0.25, 0.5, 1.0]).collect()}
+    assert found == {q: min(x for x in low if sum(y <= x for y in low) >= q * len(low)) for q in (0.25, 0.5, 1.0)}
+    found = {r["window"]: (r["docs_over"], r["truncated_total"]) for r in at_limits(limits, [0, 3, 100, 10**6]).collect()}
+    assert found == {w: (sum(x > w for x in lengths), sum(min(x, w) for x in lengths)) for w in (0, 3, 100, 10**6)}
     assert context_limits(length_histogram(docs.limit(0), PATH)).count() == 0
 
 
-def test_packing_round_trip(spark):
+def test_packing_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 3)
     rows = [(i, t, "s") for i, t in enumerate(TEXTS * 3)] + [(None, "no id", "s"), (3, "again", "s")]
     found = pack(spark.createDataFrame(rows, "doc_id long, text string, slice string"), PATH, window=64).collect()
     expected = Counter()
@@ -79,6 +87,25 @@ def test_a_plan_uses_every_piece_once(histogram):
     assert all(a[0] < b[0] or a[1] < b[1] for a, b in zip(table, table[1:], strict=False))
 
 
+def test_combinations_are_all_of_three_pieces_at_most():
+    lengths = [1, 2, 3, 5, 7, 8, 13, 20]
+    expected = {(a, b, c) for a in [0, *lengths] for b in [0, *lengths] for c in [0, *lengths] if a <= b <= c and a + b + c == 20}
+    assert {tuple(c) for c in combinations(np.array(lengths), 20).tolist()} == expected
+    assert combinations(np.array([], int), 20).shape == (0, 3)
+
+
+def padding(found, window):
+    lost = sum(n * (window - sum(parts)) for parts, n in found if sum(parts) & (sum(parts) - 1))
+    return lost / sum(n * sum(parts) for parts, n in found)
+
+
+def test_fills_at_a_power_of_two_leave_no_padding():
+    assert padding(plan({600: 3, 424: 3, 1024: 1, 200: 1, 312: 1}, 2048), 2048) == 0
+    found = plan({1024: 3}, 2048)
+    assert sorted(sum(parts) for parts, _ in found) == [1024, 2048]
+    assert plan({}, 2048) == []
+
+
 def test_little_padding_on_a_smooth_histogram():
     rng = np.random.Generator(np.random.PCG64(1))
     lengths = Counter((rng.lognormal(6.5, 0.8, 20000).astype(int) % 2047 + 1).tolist())
@@ -90,7 +117,7 @@ def test_little_padding_on_a_smooth_histogram():
 def test_least_squares_lower_the_residual():
     counts = np.zeros(65, np.int64)
     counts[[10, 20, 34, 54, 44, 30]] = [30, 50, 30, 30, 50, 30]
-    combos = combinations(np.flatnonzero(counts), 64, grid=1)
+    combos = combinations(np.flatnonzero(counts), 64)
     x = repeats(counts, combos)
     now = np.bincount(combos.ravel(), np.repeat(x, 3), 65)
     now[0] = 0
