@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from pagewright.llm import decontaminate, licenses, quality, secrets
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -164,10 +166,12 @@ def test_redaction_leaves_no_key_body(spark):
     assert out[9] == "a [SECRET] is how a key begins b" and len(out[10]) == len("a [SECRET] ") + 5 * 30000 + 1
 
 
-def test_leaks_equal_all_pairs(spark):
+@pytest.mark.parametrize("block_rows", [1_000_000, 9])
+def test_leaks_equal_all_pairs(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", block_rows)
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(60)}"
-    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([5, 6, 9, 17, 33, 60, 14, 14])] + [(8, "too few words"), (9, None), (10, ""), (6, None)]
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([5, 6, 9, 17, 33, 60, 14, 14])] + [(8, "too few words"), (9, None), (10, ""), (6, None), (11, "W1 w2, w3 w4"), (12, "w7"), (13, "w5 w6"), (14, "w6 w5"), (15, "w7!")]
     texts = [None, "", "short"]
     for _ in range(60):
         doc = [word() for _ in range(rng.randrange(0, 400))]
@@ -182,14 +186,18 @@ def test_leaks_equal_all_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
     tested = spark.createDataFrame([(*i, "q") for i in items], "item_id long, text string, need string")
 
-    def sets(text):
+    def sets(text, size=5):
         words = WORD.findall((text or "").lower())
-        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
 
+    texts[3] += " w1 w2 w3 w4"
+    rows = [(i, texts[i] if i == 3 else t, n) for i, t, n in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
     expected = {}
     for i, t, _ in rows:
         for k, q in items:
-            a, b = sets(t), sets(q)
+            size = min(5, len(WORD.findall((q or "").lower()))) or 5
+            a, b = sets(t, size), sets(q, size)
             if i is not None and b and len(a & b) >= 0.8 * len(b) - 1e-9:
                 expected[i, k] = (len(a & b), len(b))
     found = decontaminate.leaks(docs, tested).collect()
