@@ -5,12 +5,13 @@ Calls and results are hash-joined by (conversation, identifier). Calls may refer
 as level, so that ordering by (level, turn, position) is topological. Arguments are validated against tool
 schemas. Canonical JSON has sorted keys and no white space. DataFrame functions only.
 
-Defined cases: an identifier used by several calls of a conversation belongs to the first (by turn, then position),
-the others get the error ``duplicate id``; a call's first result is linked, later ones are not; results without a call
-are not returned (see ``orphans``). A call on a cycle of references, or that refers to one, has a null level and the
-error ``cycle``; references to unknown calls are the error ``unknown reference`` and don't count for the level. Null or invalid
-arguments give ``invalid arguments``, unknown tools ``unknown tool``. Rows with a null conversation or identifier are no calls or
-results. Further columns are not read.
+Defined cases: an identifier used by several calls of a conversation belongs to the first (by turn, position, name and
+arguments, nulls last; of equal rows to one of them), the others get the error ``duplicate id``, no level and no result. A
+call's first result (by turn, then content, nulls last) is linked, later ones are not; results without a call are returned by
+``orphans``, messages that are neither by ``plain_messages``. A call on a cycle of references, or that refers to one, has a null level and
+the error ``cycle``; references to unknown calls are the error ``unknown reference`` and don't count for the level. Null or invalid
+arguments give ``invalid arguments``, unknown tools ``unknown tool``. Calls with a null conversation or identifier can't be
+linked: the error is ``no id``, the level null. Null turns and positions stay null. Further columns are not read.
 
 Chains of calls that refer to one other each are followed by pointer jumping, in logarithmically many joins; only calls
 that refer to several take a round a level.
@@ -54,10 +55,10 @@ def embedded_results(messages: DataFrame) -> DataFrame:
 
 
 def exchange_calls(messages: DataFrame, tool: str = "reply") -> DataFrame:
-    """Every user message as a call of ``tool``, which refers to the exchange before it, if there is one."""
+    """Every user message as a call of ``tool``, which refers to the exchange before it, if there is one. Without a turn it has no identifier."""
     before = messages.where("role = 'user'").select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("follows")).distinct()
     rows = messages.where("role = 'user'").join(before, ["conv_id", "turn"], "left")
-    name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    name = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
     ref = F.when(F.col("follows"), F.struct(F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 2).cast("string")).alias("$ref")))
     arguments = F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"), ref.alias("after")))
     return rows.select("conv_id", name.alias("call_id"), F.lit(tool).alias("name"), arguments.alias("arguments"), "turn", F.lit(0).alias("position"))
@@ -65,7 +66,7 @@ def exchange_calls(messages: DataFrame, tool: str = "reply") -> DataFrame:
 
 def exchange_results(messages: DataFrame) -> DataFrame:
     """Every assistant message as the result of the message right before it."""
-    name = F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
+    name = F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - 1).cast("string"))
     return messages.where("role = 'assistant'").select("conv_id", name.alias("call_id"), F.col("text").alias("content"), "turn")
 
 
@@ -141,16 +142,24 @@ def _anchor_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
+def _placed_last(*columns: str) -> Column:
+    """A struct that sorts by the columns with nulls last."""
+    return F.struct(*(c for name in columns for c in (F.col(name).isNull().alias(f"no_{name}"), F.col(name))))
+
+
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per call: conv_id, call_id, turn, position, level, result_turn, errors, json."""
-    calls = calls.where("conv_id is not null and call_id is not null")
-    calls = calls.withColumn("key", F.concat_ws(":", F.col("conv_id").cast("string"), "call_id"))
-    owner = calls.groupBy("key").agg(F.min(F.struct("turn", "position")).alias("o"))
-    owned = calls.join(owner, "key").withColumn("first", (F.col("turn") == F.col("o.turn")) & (F.col("position") == F.col("o.position")))
-    owned = keep(owned.drop("o"), "calls")
+    names = ["conv_id", "call_id", "name", "arguments", "turn", "position"]
+    # Equal rows are one until the end, so that a repeated call stays one row of any join.
+    distinct = calls.groupBy(*names).agg(F.count("*").alias("copies"))
+    distinct = distinct.withColumn("key", F.when(F.col("conv_id").isNotNull(), F.concat(F.col("conv_id").cast("string"), F.lit(":"), "call_id")))
+    distinct = distinct.withColumn("place", _placed_last("turn", "position", "name", "arguments"))
+    owner = distinct.where("key is not null").groupBy("key").agg(F.min("place").alias("o"))
+    owned = distinct.join(owner, "key", "left").withColumn("first", F.coalesce(F.col("place").eqNullSafe(F.col("o")) & F.col("key").isNotNull(), F.lit(False)))
+    owned = keep(owned.drop("o", "place"), "calls")
     answers = results.where("conv_id is not null and call_id is not null")
-    answers = answers.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
-    nodes = owned.where("first").select(F.col("key").alias("node")).distinct()
+    answers = answers.groupBy("conv_id", "call_id").agg(F.min(_placed_last("turn", "content")).alias("r"))
+    nodes = owned.where("first").select(F.col("key").alias("node"))
     refs = owned.where("first").select(
         F.col("key").alias("node"), F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(_REF), 1))).alias("ref"), "conv_id"
     )
@@ -158,16 +167,18 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
     edges = keep(refs.join(nodes.select(F.col("node").alias("needs"), F.lit(True).alias("there")), "needs", "left").distinct(), "refs")
     ordered = levels(nodes, edges.where("there").select("node", "needs"))
     lost = edges.where("there is null").select("node").distinct().withColumn("lost", F.lit(True))
-    named = owned.withColumn("row", F.xxhash64("key", "turn", "position", "name", "arguments"))
-    wrong = argument_errors(named.select(F.col("row").alias("key"), "name", "arguments").distinct(), schemas)
+    # What is wrong with arguments depends on the tool and the arguments alone; they are named by 128 bits.
+    named = owned.withColumn("asked", F.md5(F.to_json(F.struct("name", "arguments"))))
+    wrong = argument_errors(named.select(F.col("asked").alias("key"), "name", "arguments").distinct(), schemas)
     out = named.join(ordered.withColumnRenamed("node", "key"), "key", "left").join(lost.withColumnRenamed("node", "key"), "key", "left")
-    out = out.join(wrong.withColumnRenamed("key", "row"), "row", "left").join(answers, ["conv_id", "call_id"], "left")
+    out = out.join(wrong.withColumnRenamed("key", "asked"), "asked", "left").join(answers, ["conv_id", "call_id"], "left")
+    out = out.withColumn("first", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "copies"), lambda k: F.col("first") & (k == 1))))
     level, result = F.when(F.col("first"), F.col("level")), F.when(F.col("first"), F.col("r"))
     errors = F.concat(
         F.coalesce("errors", F.array().cast("array<string>")),
         F.array_compact(F.array(
-            F.when(~F.col("first"), F.lit("duplicate id")), F.when(F.col("first") & F.col("level").isNull(), F.lit("cycle")),
-            F.when(F.col("first") & F.col("lost"), F.lit("unknown reference")),
+            F.when(F.col("key").isNull(), F.lit("no id")), F.when(F.col("key").isNotNull() & ~F.col("first"), F.lit("duplicate id")),
+            F.when(F.col("first") & F.col("level").isNull(), F.lit("cycle")), F.when(F.col("first") & F.col("lost"), F.lit("unknown reference")),
         )),
     )
     parsed = F.try_parse_json("arguments")
@@ -182,5 +193,27 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
 
 
 def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Results whose identifier no call of their conversation has."""
-    return results.join(calls.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+    """Results whose identifier no call of their conversation has, null ones among them."""
+    return results.join(calls.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
+
+
+def plain_messages(messages: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """Messages of other roles than those that call or answer."""
+    return messages.where(F.col("role").isNull() | ~F.col("role").isin(*roles))
+
+
+def conversation_rows(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """All of conversations as rows of one shape: kind ``call`` (see ``linked_calls``), ``orphan`` and ``message``, each with its canonical JSON."""
+    linked = linked_calls(calls, results, schemas)
+    none = lambda kind: F.lit(None).cast(kind)
+    empty = F.array().cast("array<string>").alias("errors")
+    alone = orphans(calls, results).select(
+        "conv_id", "call_id", "turn", none("int").alias("position"), none("long").alias("level"), F.col("turn").alias("result_turn"), empty,
+        F.to_json(F.struct("content", F.col("call_id").alias("id"), "turn")).alias("json"),
+    )
+    other = plain_messages(messages, roles).select(
+        "conv_id", none("string").alias("call_id"), "turn", none("int").alias("position"), none("long").alias("level"), none("long").alias("result_turn"), empty,
+        F.to_json(F.struct(F.col("text").alias("content"), "role", "turn")).alias("json"),
+    )
+    tagged = [df.withColumn("kind", F.lit(kind)) for df, kind in ((linked, "call"), (alone, "orphan"), (other, "message"))]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])

@@ -75,8 +75,11 @@ _SHINGLES = "list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_strin
 _OP5 = f"""
 with item_words as (select distinct item_id, regexp_extract_all(lower(text), '{_WORD}') as w from benchmark),
 doc_words as (select doc_id, regexp_extract_all(lower(text), '{_WORD}') as w from documents),
-item_sets as (select item_id, list_distinct({_SHINGLES.format(k=5)}) as s from item_words where len(w) >= 5),
-doc_sets as (select doc_id, unnest(list_distinct({_SHINGLES.format(k=5)})) as s from doc_words where len(w) >= 5),
+item_sets as (select item_id, case when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct({_SHINGLES.format(k=5)}) end as s from item_words where len(w) > 0),
+doc_sets as (
+    select doc_id, unnest(list_distinct({_SHINGLES.format(k=5)})) as s from doc_words where len(w) >= 5
+    {" ".join(f"union all select doc_id, unnest(list_distinct({_SHINGLES.format(k=k)})) from doc_words where len(w) >= {k} and exists (from item_words i where len(i.w) = {k})" for k in range(1, 5))}
+),
 items as (select item_id, len(s) as n, unnest(s) as s from item_sets)
 select doc_id, item_id, count(*)::int as n_shared, any_value(n)::int as n_item, count(*) / any_value(n) as containment
 from doc_sets join items using (s) group by doc_id, item_id having count(*) >= ceil(0.8 * any_value(n) - 1e-9)
@@ -93,13 +96,21 @@ levels(conv_id, turn, level) as (
     union all
     select c.conv_id, c.turn, l.level + 1 from levels l join calls c on c.conv_id = l.conv_id and c.turn = l.turn + 2 and c.follows
 )
-select c.conv_id, concat(c.conv_id, ':', c.turn) as call_id, c.turn, 0 as position, l.level, r.turn as result_turn, '' as errors,
+select 'call' as kind, c.conv_id, concat(c.conv_id, ':', c.turn) as call_id, c.turn, 0 as position, l.level, r.turn as result_turn, '' as errors,
     concat('{"arguments":{', case when c.follows then concat('"after":{"$ref":"', c.conv_id, ':', c.turn - 2, '"},') else '' end,
         case when c.text is null then '' else concat('"text":', to_json(c.text), ',') end, '"turn":', c.turn, '},"id":"', c.conv_id, ':', c.turn, '","name":"reply",',
         case when r.turn is null then '' else concat('"result":{', case when r.text is null then '' else concat('"content":', to_json(r.text), ',') end, '"turn":', r.turn, '},') end,
         '"turn":', c.turn, '}') as json
 from calls c join levels l on l.conv_id = c.conv_id and l.turn = c.turn
 left join conversations r on r.conv_id = c.conv_id and r.turn = c.turn + 1 and r.role = 'assistant'
+union all
+select 'orphan', a.conv_id, concat(a.conv_id, ':', a.turn - 1), a.turn, null, null, a.turn, '',
+    concat('{', case when a.text is null then '' else concat('"content":', to_json(a.text), ',') end, '"id":"', a.conv_id, ':', a.turn - 1, '","turn":', a.turn, '}')
+from conversations a where a.role = 'assistant' and not exists (from conversations c where c.conv_id = a.conv_id and c.turn = a.turn - 1 and c.role = 'user')
+union all
+select 'message', conv_id, null, turn, null, null, null, '',
+    concat('{', case when text is null then '' else concat('"content":', to_json(text), ',') end, case when role is null then '' else concat('"role":', to_json(role), ',') end, '"turn":', turn, '}')
+from conversations where role is null or role not in ('user', 'assistant', 'tool')
 """
 
 _SECRETS = (

@@ -8,7 +8,6 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from pagewright.llm import chat, decontaminate, embedding_dedup, licenses, ngram_jaccard, packing, quality, secrets, tokens, urls
 from pagewright.llm.oracles import ORACLES
 
@@ -53,7 +52,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user message as a call and the message after it as its result, with calls that messages hold."""
+    """Every user message as a call and the message after it as its result, with calls that messages hold, results without a call, and other messages."""
     messages = table(spark, sf_dir, "conversations")
     schemas = spark.createDataFrame(
         [("reply", "turn", "integer", True), ("reply", "text", "string", True), ("reply", "after", "object", False)],
@@ -61,7 +60,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     calls = chat.exchange_calls(messages).unionByName(chat.embedded_calls(messages))
     results = chat.exchange_results(messages).unionByName(chat.embedded_results(messages))
-    return chat.linked_calls(calls, results, schemas).withColumn("errors", F.array_join("errors", ","))
+    rows = chat.conversation_rows(messages, calls, results, schemas, roles=("user", "assistant", "tool"))
+    return rows.withColumn("errors", F.array_join("errors", ","))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_counts,
         op10_packing,
     )
-} | {"pipeline": corpus_pipeline.run}
+}

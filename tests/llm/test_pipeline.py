@@ -97,6 +97,23 @@ def test_stages(spark, corpus):
     assert corpus_pipeline.run(spark, folder).count() == len(five)
 
 
+def test_rows_with_null_and_repeated_ids_are_decided_by_their_own_text(spark, corpus):
+    folder, items = corpus
+    rng = random.Random(10)
+    a, b, c, d = (sentence(rng) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, a + " end"), (None, b), (None, b), (None, c), (None, c + " end"), (3, d), (3, items[0][1]), (None, items[1][1]), (4, ""), (4, ""), (5, None)]
+    docs = keep(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "odd")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    near = texts(stages["near_duplicates"](spark, docs, folder))
+    of_c = [t for t in near if t[0] is None and t[1].startswith(c)]
+    assert len(of_c) == 1
+    others = [(1, a), (1, b), (3, d), (3, items[0][1]), (None, items[1][1]), (4, ""), (4, ""), (5, None)]
+    assert near == sorted([*others, *of_c], key=repr)
+    clean = texts(stages["decontamination"](spark, docs, folder))
+    assert clean == sorted([r for r in rows if r[1] not in (items[0][1], items[1][1])], key=repr)
+
+
 def test_no_documents(spark, corpus):
     folder, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
