@@ -1,8 +1,9 @@
 """Five stages from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; the last returns the
-pieces of packed sequences, the others the columns of documents. Rows with a null id pass the stages that
-decide by id.
+pieces of packed sequences, the others the columns of documents. Stages that decide on rows name each by a hash of its id and
+text, so rows with a null or a repeated id are decided by their own text. Equal rows with words are copies of each other, of which
+one stays.
 """
 
 from __future__ import annotations
@@ -21,18 +22,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept(docs, quality.train(docs, labels))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five words, Jaccard 0.8) the document with the smallest id."""
-    found = ngram_jaccard.jaccard_components(docs, size=5, percent=80)
-    gone = keep(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of near-duplicates (five words, Jaccard 0.8) the document with the smallest id, null ids last."""
+    rows = _keyed(docs)
+    found = ngram_jaccard.jaccard_components(rows.select("_row", "text"), id_col="_row", size=5, percent=80)
+    named = found.where("n_shingles > 0").groupBy("_row", "component_id").agg(F.count("*").alias("n"))
+    named = named.join(rows.select("_row", "doc_id").distinct(), "_row")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = named.groupBy("component_id").agg(F.min(place)["_row"].alias("first"))
+    placed = keep(named.join(first, "component_id").select("_row", (F.col("_row") != F.col("first")).alias("gone"), F.col("n")), "placed")
+    kept = rows.join(placed.where("gone").select("_row"), "_row", "left_anti")
+    repeated = keep(placed.where("not gone and n > 1").select("_row"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(repeated, "_row", "left_anti").unionByName(once).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (five words, containment 0.8)."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = keep(found.select("doc_id").distinct(), "leaked")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = _keyed(docs)
+    found = decontaminate.leaks(rows.select("_row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    gone = keep(found.select("_row").distinct(), "leaked")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
