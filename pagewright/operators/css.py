@@ -9,7 +9,8 @@ from pagewright.functions.weburl import JS_SPACE
 
 MOST_URLS, MOST_SETS, MOST_IMPORTS = 4000, 200, 240
 _S = f"[{JS_SPACE}]"
-_URL = re.compile(rf"url\({_S}*(['\"]?)([^'\")]+)\1{_S}*\)", re.I)
+_URL = re.compile(rf"url\({_S}*(['\"]?)", re.I)
+_URL_END, _URL_CLOSE = re.compile("['\")]"), re.compile(rf"{_S}*\)")
 _SET = re.compile(r"(?:-[a-z]+-)?image-set\(((?:[^()]|\([^()]*\))*)\)", re.I)
 _SET_ITEM = re.compile(rf"{_S}*(['\"])([^'\"]+)\1{_S}*(?:([0-9]*\.?[0-9]+)x|([0-9]+)w)?{_S}*")
 _IMPORT = re.compile(rf"@import{_S}+(?:url\({_S}*)?(['\"]?)([^'\"{JS_SPACE});,]+)\1{_S}*\)?", re.I)
@@ -48,18 +49,36 @@ def rule_around(css: str, at: int) -> dict:
     }
 
 
+def _urls(css: str) -> Iterator[tuple[int, str, int]]:
+    """(start, value, end) of each url(). The next mark that ends a value is looked for once, so runs without one stay linear."""
+    at, stop = 0, -1
+    for m in _URL.finditer(css):
+        begin = m.end()
+        if m.start() < at:
+            continue
+        if stop < begin:
+            found = _URL_END.search(css, begin)
+            if not found:
+                return
+            stop = found.start()
+        closed = _URL_CLOSE.match(css, stop + len(m[1])) if css[stop] == (m[1] or ")") and stop > begin else None
+        if closed:
+            at = closed.end()
+            yield m.start(), css[begin:stop], at
+
+
 def css_references(css: str) -> Iterator[dict]:
     """Raw references in the order url(), image-set(), @import; data URIs included."""
     css = without_comments(css)
-    for n, m in enumerate(_URL.finditer(css)):
+    for n, (begin, value, end) in enumerate(_urls(css)):
         if n == MOST_URLS:
             break
-        raw = m[2].strip()
-        if not raw or raw.startswith(_NO_URL) or re.search(rf"@import{_S}+\(?{_S}*['\"]?$", css[max(0, m.start() - 48) : m.start()], re.I):
+        raw = value.strip()
+        if not raw or raw.startswith(_NO_URL) or re.search(rf"@import{_S}+\(?{_S}*['\"]?$", css[max(0, begin - 48) : begin], re.I):
             continue
-        rule = rule_around(css, m.start())
-        times = re.search(rf"{_S}([0-9](?:\.[0-9]+)?)x", css[m.end() : m.end() + 14])
-        in_set = bool(re.search(r"image-set\([^)]*$", css[max(0, m.start() - 260) : m.start()], re.I))
+        rule = rule_around(css, begin)
+        times = re.search(rf"{_S}([0-9](?:\.[0-9]+)?)x", css[end : end + 14])
+        in_set = bool(re.search(r"image-set\([^)]*$", css[max(0, begin - 260) : begin], re.I))
         hint = None
         if rule["face"] or (rule["prop"] == "src" and "font" in rule["selector"].lower() and not is_data_uri(raw)):
             hint = "font"

@@ -2,18 +2,69 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import collapse_space
+from pagewright.functions.weburl import normalize
+from pagewright.operators.css import css_references, parse_srcset
+from pagewright.operators.html import LAZY_ATTR
 
 BOX_SHARE, BLOCK_KEY = 0.35, 220
+#: Attributes of elements that name a resource, and values of data attributes that do.
+URL_ATTRS = ("src", "href", "poster", "data", "background", "xlink:href", "movie", "codebase", "formaction")
+SRCSET_ATTRS = ("srcset", "imagesrcset")
+ASSET_VALUE = re.compile(r"\.(png|jpe?g|webp|avif|gif|svg|mp4|webm|mov|m4a|mp3|wav|pdf|zip|docx?|xlsx?|pptx?)($|[?#])", re.I)
 
 
 def block_key(tag: Column, text: Column) -> Column:
     return F.concat(F.lower(F.coalesce(tag, F.lit(""))), F.lit("|"), F.substring(collapse_space(F.coalesce(text, F.lit(""))), 1, BLOCK_KEY))
 
 
+def _element_keys(pairs: list[tuple[str, str]], base: str) -> list[str]:
+    """The resolved URLs that an element's attributes name, in order; a bare anchor is the page itself and names none."""
+    found: dict[str, None] = {}
+    for name, value in pairs:
+        name, value = (name or "").lower(), value or ""
+        if name in SRCSET_ATTRS:
+            raws = [url for url, _, _ in parse_srcset(value)]
+        elif name in URL_ATTRS or re.fullmatch(LAZY_ATTR, name):
+            raws = [value]
+        elif name == "style":
+            raws = [r["raw"] for r in css_references(value) if r["kind"] != "import"]
+        elif name.startswith("data-") and ASSET_VALUE.search(value):
+            raws = [value]
+        else:
+            continue
+        for raw in raws:
+            if raw.strip() and not raw.strip().startswith("#"):
+                key = normalize(raw, base)
+                if key:
+                    found[key] = None
+    return list(found)
+
+
+def element_keys(attributes: Column, base: Column) -> Column:
+    """The keys of an element from its attributes (an array of structs of name and value) and the page's base."""
+
+    @F.udf("array<string>", useArrow=True)
+    def keys(pairs, url):
+        return [] if pairs is None else _element_keys([(p["name"], p["value"]) for p in pairs], url or "")
+
+    return keys(attributes, base)
+
+
+def with_excluded(items: DataFrame, excluded: DataFrame, elements: DataFrame) -> DataFrame:
+    """(id, el_id, excluded): elements (el_id, keys) of kept items (id, key), and of excluded ones where no kept item has the key."""
+    probes = elements.select("el_id", F.explode("keys").alias("key")).distinct()
+    kept = probes.join(items.select("id", "key").distinct(), "key").withColumn("excluded", F.lit(False))
+    free = excluded.select("id", "key").distinct().join(items.select("key").distinct(), "key", "left_anti")
+    out = kept.unionByName(probes.join(free, "key").withColumn("excluded", F.lit(True)))
+    return out.groupBy("id", "el_id").agg(F.min("excluded").alias("excluded"))
+
+
 def items_to_elements(items: DataFrame, elements: DataFrame) -> DataFrame:
     """(item_id, el_id) of items (item_id, key) and elements (el_id, keys) that share a key."""
     probes = elements.select("el_id", F.explode("keys").alias("key")).distinct()
@@ -36,12 +87,16 @@ def unmatched(items: DataFrame, matched: DataFrame) -> DataFrame:
     return lost.withColumn("reason", F.when(F.col("key").startswith("data::"), "inline").otherwise("no element"))
 
 
-def blocks_to_elements(blocks: DataFrame, elements: DataFrame) -> DataFrame:
-    """(block_id, el_id): elements (el_id, tag, text) in document order take blocks (block_id, tag, text) of the same key in order."""
-    place = lambda key, order: F.row_number().over(Window.partitionBy(key).orderBy(order))
-    left = blocks.select("block_id", block_key(F.col("tag"), F.col("text")).alias("key")).withColumn("n", place("key", "block_id"))
-    right = elements.select("el_id", block_key(F.col("tag"), F.col("text")).alias("key")).withColumn("n", place("key", "el_id"))
-    return left.join(right, ["key", "n"]).select("block_id", "el_id")
+def blocks_to_elements(blocks: DataFrame, elements: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page_id, block_id, el_id): elements (el_id, tag, text) of a page take its blocks (block_id, tag, text) of the same key, both in document order.
+
+    The page is part of the key, so a text that all pages share stays in as many groups as there are pages.
+    """
+    key = block_key(F.col("tag"), F.col("text")).alias("key")
+    place = lambda order: F.row_number().over(Window.partitionBy(page, "key").orderBy(order))
+    left = blocks.select(page, "block_id", key).withColumn("n", place("block_id"))
+    right = elements.select(page, "el_id", key).withColumn("n", place("el_id"))
+    return left.join(right, [page, "key", "n"]).select(page, "block_id", "el_id")
 
 
 def overlap(a: str, b: str) -> Column:

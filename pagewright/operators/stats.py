@@ -66,6 +66,17 @@ def region_summary(refs: DataFrame, blocks: DataFrame, group: str = "page_id") -
     return tagged.groupBy(group).agg(*counts)
 
 
+def region_summary_of(pages: DataFrame) -> DataFrame:
+    """The same of pages with nested refs and blocks, counted inside their arrays; pages with neither are left out."""
+
+    def held(part: str, zone: str) -> Column:
+        own = lambda x: F.when(x["zone"].isin("main", "noise"), x["zone"]).otherwise("content")
+        return F.sum(F.size(F.filter(part, lambda x: own(x) == zone)).cast("long"))
+
+    counts = [held(part, z).alias(f"{what}_{z}") for part, what in (("refs", "refs"), ("blocks", "texts")) for z in ("main", "content", "noise")]
+    return pages.where((F.size("refs") > 0) | (F.size("blocks") > 0)).groupBy("page_id").agg(*counts)
+
+
 def region_kinds(refs: DataFrame) -> DataFrame:
     kind = F.when(F.coalesce("zone_kind", F.lit("")) == "", "other").otherwise(F.col("zone_kind"))
     found = refs.where("zone = 'noise'").groupBy(kind.alias("zone_kind")).agg(F.count("*").alias("n"))

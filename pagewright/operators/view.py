@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.operators.export import placed
+
 #: Columns that a search looks through.
 SEARCHED = (
     "name", "url", "type", "host", "mime", "alt", "provenance", "format", "codec", "title", "creator", "album", "genre", "font_name", "family",
@@ -55,6 +57,10 @@ class View:
     def rows(self) -> DataFrame:
         return self.items.orderBy(*sort_columns(self.sort))
 
+    def placed(self) -> DataFrame:
+        """The rows with their ``position`` in the view, from 1."""
+        return placed(self.items, *sort_columns(self.sort))
+
     def counts(self) -> DataFrame:
         ok = F.col("status") == "ok"
         size = F.sum(F.coalesce("size", F.lit(0)))

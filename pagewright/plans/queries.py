@@ -11,6 +11,7 @@ from pagewright.functions import policy, region, text, types
 from pagewright.functions.urlmeta import url_meta_col
 from pagewright.operators import export, html, joins, probe, refs, stats, view
 from pagewright.plans import views
+from pagewright.sources.tables import read_spread
 from pagewright.streaming import events as event_log
 from pagewright.streaming import pages as page_stream
 
@@ -35,8 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract_pages(table(spark, sf_dir, "pages"))
+def extracted(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"), parts=parts)
+
+
+def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy by the row; small ones are spread over the cores."""
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,19 +77,19 @@ _CHARS, _WORDS = "length(regexp_replace(text, '\\s+', '', 'g'))", "len(regexp_ex
     from blocks group by page_id, zone, kind""")
 def page_zone_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, characters and words of each page by region."""
-    rows = html.exploded(extracted(spark, sf_dir), "blocks")
+    rows = html.exploded(extracted(spark, sf_dir, "blocks"), "blocks")
     return rows.groupBy("page_id", "zone", "zone_kind").agg(F.count("*").alias("blocks"), F.sum("chars").alias("chars"), F.sum("words").alias("words"))
 
 
 @query(f"with {_BLOCKS} select page_id, tag, text, zone, kind as zone_kind, {_CHARS} as chars, {_WORDS} as words from blocks")
 def page_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.exploded(extracted(spark, sf_dir), "blocks").select("page_id", "tag", "text", "zone", "zone_kind", "chars", "words")
+    return html.exploded(extracted(spark, sf_dir, "blocks"), "blocks").select("page_id", "tag", "text", "zone", "zone_kind", "chars", "words")
 
 
 @query(f"""select page_id, {_clean("regexp_extract(html, '<title>([^<]*)</title>', 1)")} as title, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang,
     regexp_extract(html, '<meta charset="([^"]*)"', 1) as charset from pages""")
 def page_doc_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(spark, sf_dir).select("page_id", "doc.title", "doc.lang", "doc.charset")
+    return extracted(spark, sf_dir, "doc").select("page_id", "doc.title", "doc.lang", "doc.charset")
 
 
 _LINKS = """
@@ -95,35 +101,34 @@ links as (select page_id, concat(origin, replace(replace(replace(replace(replace
 
 @query(f"with {_LINKS} select distinct page_id, url from links")
 def page_links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.exploded(extracted(spark, sf_dir), "links").select("page_id", "url")
+    return html.exploded(extracted(spark, sf_dir, "links"), "links").select("page_id", "url")
 
 
 @query(f"with {_LINKS} select page_id, url, {_clean('arg_min(txt, n)')} as text from links group by page_id, url")
 def page_link_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.exploded(extracted(spark, sf_dir), "links").select("page_id", "url", "text")
+    return html.exploded(extracted(spark, sf_dir, "links"), "links").select("page_id", "url", "text")
 
 
 @query(f"""select page_id, 1 as level, {_clean("unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1))")} as text, 'main' as zone from pages""")
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.exploded(extracted(spark, sf_dir), "headings").select("page_id", "level", "text", "zone")
+    return html.exploded(extracted(spark, sf_dir, "headings"), "headings").select("page_id", "level", "text", "zone")
 
 
 @query(f"""with {_BLOCKS} select page_id, 0::bigint as refs_main, 0::bigint as refs_content, 0::bigint as refs_noise, count(*) filter (zone = 'main') as texts_main,
     count(*) filter (zone = 'content') as texts_content, count(*) filter (zone = 'noise') as texts_noise from blocks group by page_id""")
 def page_region_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extracted(spark, sf_dir)
-    return stats.region_summary(html.exploded(rows, "refs"), html.exploded(rows, "blocks"))
+    return stats.region_summary_of(extracted(spark, sf_dir, "refs", "blocks"))
 
 
 @query()
 def page_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.exploded(extracted(spark, sf_dir), "keywords").select("page_id", "position", "term", "score")
+    return html.exploded(extracted(spark, sf_dir, "keywords"), "keywords").select("page_id", "position", "term", "score")
 
 
 @query()
 def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of the pages, merged, judged and numbered; these pages hold none, the plan is that of a scan."""
-    merged = refs.merge_references(html.exploded(extracted(spark, sf_dir), "refs").drop("position"))
+    merged = refs.merge_references(html.exploded(extracted(spark, sf_dir, "refs"), "refs").drop("position"))
     return refs.numbered(policy.judge(merged)).select("page_id", "idx", "url", "type", "count", "zone", "verdict.reason", "rescued")
 
 
@@ -141,11 +146,11 @@ good as (select * from ordered where path <> regexp_extract(base, '^https?://[^/
     and not regexp_matches(path, '(?i)\\.(pdf|zips?|rar|7z|tar|gz|tgz|bz2|xz|docx?|xlsx?|pptx?|csv|tsv|log|mp4|mkv|mov|avi|webm|m4v|mp3|m4a|flac|wav|ogg|opus|aac|png|jpe?g|gif|webp|avif|apng|svg|bmp|ico|tiff?|heic|woff2?|ttf|otf|eot|js|mjs|cjs|css|json|jsonld|xml|txt|md|ya?ml|apk|dmg|exe|msi|bin|wasm|ics|vcf|torrent)($|[?#])')
     and not regexp_matches(path, '(?i)(login|signin|logout|signup|register|cart|checkout|share|print)')),
 one as (select *, row_number() over (partition by page_id, path order by position) as r from good)
-select page_id, url, place from (select page_id, url, row_number() over (partition by page_id order by position) as place from one where r = 1) where place <= 4""")
+select page_id, url, place from (select page_id, url, row_number() over (partition by page_id order by position) as place from one where r = 1) where place <= 12""")
 def page_same_origin_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = html.exploded(extracted(spark, sf_dir), "links").select("page_id", "position", "url")
+    links = html.exploded(extracted(spark, sf_dir, "links"), "links").select("page_id", "position", "url")
     base = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("base"))
-    return refs.crawl_targets(links.join(base, "page_id"), most=4).select("page_id", "url", "place")
+    return refs.crawl_targets(links.join(base, "page_id"), most=12).select("page_id", "url", "place")
 
 
 @query("""with p as (select page_id, string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') as pairs from pages where url like '%?%'),
@@ -165,7 +170,7 @@ for _pattern in export.STRIPPED:
 @query(f"""with stripped as (select page_id, url, {_PREVIEW_SQL} as h from pages)
 select page_id, regexp_replace(h, '(?i)(<head\\b[^>]*>)', concat('\\1', {export.patch_sql('url')})) as html from stripped""")
 def preview_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = heavy(spark, sf_dir, "pages")
     return pages.select("page_id", export.preview_html(F.col("html"), F.col("url")).alias("html"))
 
 
@@ -176,7 +181,7 @@ _HTML_ESC = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'),
 @query(f"with {_BLOCKS} select page_id, count(*) as n, md5(string_agg({_MD}, chr(10) || chr(10) order by tag, text)) as body from blocks where zone <> 'noise' group by page_id")
 def text_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of each page's main text, as a digest; ordered by tag and text so that SQL can say it too."""
-    blocks = html.exploded(extracted(spark, sf_dir), "blocks").where("zone <> 'noise'")
+    blocks = html.exploded(extracted(spark, sf_dir, "blocks"), "blocks").where("zone <> 'noise'")
     lines = export.markdown_line()
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tag", "text", lines.alias("line")))), lambda b: b["line"]), "\n\n")
     return blocks.groupBy("page_id").agg(F.count("*").alias("n"), F.md5(body).alias("body"))
@@ -185,13 +190,13 @@ def text_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_BLOCKS} select page_id, tag, case when tag = 'h1' then concat('<h1>', {_HTML_ESC}, '</h1>') when tag = 'li' then concat('<li>', {_HTML_ESC}, '</li>')
     else concat('<p>', {_HTML_ESC}, '</p>') end as html from blocks""")
 def text_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.exploded(extracted(spark, sf_dir), "blocks").select("page_id", "tag", export.html_line().alias("html"))
+    return html.exploded(extracted(spark, sf_dir, "blocks"), "blocks").select("page_id", "tag", export.html_line().alias("html"))
 
 
 @query(f"""with {_BLOCKS} select page_id, concat(tag, ',', case when tag = 'h1' then '1' else '' end, ',', case zone when 'noise' then '导航菜单' when 'main' then '主体内容区' else '未定性' end, ',', {_CHARS}, ',', {_WORDS}, ',',
     case when regexp_matches(text, '[",\\r\\n]') then concat('"', replace(text, '"', '""'), '"') else text end) as line from blocks""")
 def text_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = html.exploded(extracted(spark, sf_dir), "blocks")
+    rows = html.exploded(extracted(spark, sf_dir, "blocks"), "blocks")
     return rows.select("page_id", export.csv_line("tag", F.when(F.col("level") > 0, F.col("level")), export.zone_label(), "chars", "words", "text").alias("line"))
 
 
@@ -201,8 +206,8 @@ def text_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select 'documents' as source, doc_id as id, {_CHARS} as chars, {_WORDS} as words from documents
 union all select 'conversations', conv_id * 1000 + turn, {_CHARS}, {_WORDS} from conversations""")
 def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
-    talks = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    docs = heavy(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
+    talks = heavy(spark, sf_dir, "conversations").select(F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return docs.unionByName(talks).select("source", "id", text.count_chars_col(F.col("text")).alias("chars"), text.count_words_col(F.col("text")).alias("words"))
 
 
@@ -213,7 +218,7 @@ kept as (select * from terms where length(term) <= 24 and term not in ({_STOP}))
 
 @query(f"with {_TERMS} select lang, term, count(*) as n from kept group by lang, term")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.term_frequency(table(spark, sf_dir, "documents"), ["lang"], "text")
+    return text.term_frequency(heavy(spark, sf_dir, "documents"), ["lang"], "text")
 
 
 @query(f"""with {_TERMS}, c as (select lang, term, count(*) as n from kept group by lang, term)
@@ -221,7 +226,7 @@ select lang, term, n from (select *, row_number() over (partition by lang order
 def top_terms_per_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    counts = text.term_frequency(table(spark, sf_dir, "documents"), ["lang"], "text")
+    counts = text.term_frequency(heavy(spark, sf_dir, "documents"), ["lang"], "text")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))
     return counts.withColumn("place", place).where("place <= 26").drop("place")
 
@@ -229,7 +234,7 @@ def top_terms_per_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_TERMS} select doc_id, count(*) as n, count(distinct term) as n_distinct from kept group by doc_id")
 def stop_filtered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = text.latin_terms(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", terms.alias("t")).where(F.size("t") > 0)
+    rows = heavy(spark, sf_dir, "documents").select("doc_id", terms.alias("t")).where(F.size("t") > 0)
     return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
@@ -240,10 +245,11 @@ def text_dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select doc_id, o as "offset", length(substr(text, 1, o)) - length(replace(substr(text, 1, o), chr(10), '')) + 1 as line
-from (select doc_id, text, unnest([1, 100, 500]) as o from documents) where o <= length(text)""")
+from (select distinct doc_id, text, unnest([1, (length(text) + 1) // 2, length(text)]) as o from documents) where o > 0""")
 def line_of_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(*map(F.lit, (1, 100, 500)))).alias("offset"))
-    rows = rows.where(F.col("offset") <= F.char_length("text"))
+    size = F.char_length("text")
+    rows = heavy(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.array(F.lit(1), F.floor((size + 1) / 2).cast("int"), size))).alias("offset"))
+    rows = rows.where((F.col("offset") > 0) & (size > 0))
     return rows.select("doc_id", "offset", text.line_of_offset(F.col("text"), F.col("offset")).alias("line"))
 
 
@@ -339,10 +345,10 @@ def merge_zone_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with r as ({views.REFS}), t as (select seq, url, provenance, tag, row_number() over (partition by page_id order by
     case when provenance in ('inferred', 'json') then 3 when tag in ('link', 'script', 'meta') then 2 else 1 end, ext, url, seq) as idx, page_id from r)
-select page_id, seq, idx from t where idx <= 20""")
+select page_id, seq, idx from t""")
 def numbered_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.refs(spark, sf_dir).withColumn("type", F.col("ext"))
-    return refs.numbered(rows, collation=None).where("idx <= 20").select("page_id", "seq", "idx")
+    return refs.numbered(rows, collation=None).select("page_id", "seq", "idx")
 
 
 @query(f"with r as ({views.REFS}) select page_id % 10 as job_id, url, count(*)::int as count, min(seq) as seq from r group by 1, 2")
@@ -493,14 +499,14 @@ def view_filter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.View(items(spark, sf_dir)).only_ok().search("Gear").rows().select("idx", "name", "type")
 
 
-@query(f"{_I} select idx, size from i where type = 'image' order by size desc, idx limit 100")
+@query(f"{_I} select idx, size, row_number() over (order by size desc, idx) as position from i where type = 'image'")
 def view_sort_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.View(items(spark, sf_dir)).of_type("image").sorted_by("size").rows().limit(100).select("idx", "size")
+    return view.View(items(spark, sf_dir)).of_type("image").sorted_by("size").placed().select("idx", "size", "position")
 
 
-@query(f"{_I} select idx, type, size from i order by type, size desc, idx limit 100")
+@query(f"{_I} select idx, type, size, row_number() over (order by type, size desc, idx) as position from i")
 def view_sort_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.View(items(spark, sf_dir)).sorted_by("type").rows().limit(100).select("idx", "type", "size")
+    return view.View(items(spark, sf_dir)).sorted_by("type").placed().select("idx", "type", "size", "position")
 
 
 @query(f"""{_I}, o as (select idx, row_number() over (order by size desc, idx) as r from i)
@@ -553,13 +559,13 @@ def key_join_items_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.view(spark, sf_dir, views.ELEMENTS)
-    first = rows.where("el_id % 7 = 0").select("el_id", F.col("k1").cast("string").alias("key"))
-    second = rows.where("el_id % 5 = 0").select("el_id", F.col("k2").cast("string").alias("key"))
+    first = rows.select("el_id", (F.col("k1") * 3).cast("string").alias("key"))
+    second = rows.select("el_id", F.col("k2").cast("string").alias("key"))
     return joins.staged_match(_elements(spark, sf_dir)[0], [first, second])
 
 
-_STAGED = f"""{_E}, a as (select distinct p_partkey as item_id, el_id, 0 as stage from part join e on p_partkey = k1 where el_id % 7 = 0),
-b as (select distinct p_partkey as item_id, el_id, 1 as stage from part join e on p_partkey = k2 where el_id % 5 = 0 and p_partkey not in (select item_id from a))"""
+_STAGED = f"""{_E}, a as (select distinct p_partkey as item_id, el_id, 0 as stage from part join e on p_partkey = k1 * 3),
+b as (select distinct p_partkey as item_id, el_id, 1 as stage from part join e on p_partkey = k2 where p_partkey not in (select item_id from a))"""
 
 
 @query(f"{_STAGED} select * from a union all select * from b")
@@ -597,11 +603,12 @@ def export_unique_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.unique_paths(rows, "path", "idx").select("idx", "path")
 
 
-@query()
+@query(f"{_I} select concat('files/', name) as path, length(name) * 40 as size, md5(repeat(name, 40)) as digest, true as checked from i")
 def zip_bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries of an archive of generated bytes, read back from the archive."""
-    rows = items(spark, sf_dir).where("idx <= 50").select(F.concat(F.lit("files/"), "name").alias("path"), F.encode(F.repeat("name", 40), "utf-8").alias("body"))
-    return export.zip_entries_of(export.zip_bytes(rows), spark)
+    """The entries of archives of generated bytes of all items, read back from the archives."""
+    rows = items(spark, sf_dir).select(F.concat(F.lit("files/"), "name").alias("path"), F.encode(F.repeat("name", 40), "utf-8").alias("body"))
+    found = export.unzipped(export.zip_archives(rows))
+    return found.select("path", F.octet_length("body").cast("long").alias("size"), F.md5("body").alias("digest"), (F.col("crc") == F.crc32("body")).alias("checked"))
 
 
 # ------------------------------------------------------------------ events
@@ -654,13 +661,13 @@ def overflow_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_BLOCKS} select page_id, count(*) as blocks, sum({_CHARS})::bigint as chars, sum({_WORDS})::bigint as words, sum(strlen(text))::bigint as bytes,
     count(*) filter (tag = 'h1') as headings, count(*) filter (zone = 'noise') as noise from blocks group by page_id""")
 def page_text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.text_totals(html.exploded(extracted(spark, sf_dir), "blocks"), ["page_id"])
+    return stats.text_totals(html.exploded(extracted(spark, sf_dir, "blocks"), "blocks"), ["page_id"])
 
 
 @query(f"with {_BLOCKS} select tag, text, min(page_id) as page_id from blocks group by tag, text")
 def page_blocks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of all pages as one list, first come first kept."""
-    rows = html.exploded(extracted(spark, sf_dir), "blocks")
+    rows = html.exploded(extracted(spark, sf_dir, "blocks"), "blocks")
     return refs.keep_first(rows, ["tag", "text"], ["page_id", "ord"]).select("tag", "text", "page_id")
 
 
@@ -750,13 +757,14 @@ def playlist_meta_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", probe.playlist_meta(playlist).alias("m")).select("p_partkey", "m.segments", "m.duration")
 
 
-@query("""with b as (select p_partkey as block_id, concat('p|', p_name) as k, row_number() over (partition by p_name order by p_partkey) as n from part),
-e as (select p_partkey * 2 as el_id, concat('p|', p_name) as k, row_number() over (partition by p_name order by p_partkey) as n from part where p_partkey % 3 = 0)
-select block_id, el_id from b join e using (k, n)""")
+@query("""with b as (select p_partkey as block_id, p_partkey % 50 as page_id, concat('p|', p_name) as k, row_number() over (partition by p_partkey % 50, p_name order by p_partkey) as n from part),
+e as (select p_partkey * 2 as el_id, p_partkey % 50 as page_id, concat('p|', p_name) as k, row_number() over (partition by p_partkey % 50, p_name order by p_partkey) as n from part)
+select page_id, block_id, el_id from b join e using (page_id, k, n)""")
 def block_element_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    blocks = part.select(F.col("p_partkey").alias("block_id"), F.lit("p").alias("tag"), F.col("p_name").alias("text"))
-    elements = part.where("p_partkey % 3 = 0").select((F.col("p_partkey") * 2).alias("el_id"), F.lit("P").alias("tag"), F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("  "))).alias("text"))
+    page = (F.col("p_partkey") % 50).alias("page_id")
+    blocks = part.select(page, F.col("p_partkey").alias("block_id"), F.lit("p").alias("tag"), F.col("p_name").alias("text"))
+    elements = part.select(page, (F.col("p_partkey") * 2).alias("el_id"), F.lit("P").alias("tag"), F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("  "))).alias("text"))
     return joins.blocks_to_elements(blocks, elements)
 
 

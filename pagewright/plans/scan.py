@@ -1,19 +1,21 @@
 """The scan of pages as one lazily composed plan: extract, merge, judge, cap, probe, judge again, summarise.
 
 Each part of the result is a DataFrame that shares the plan up to where it branches. What several parts read is written
-once below ``workspace`` when a caller gives one, and recomputed otherwise.
+once: below ``workspace``, else below ``spark.checkpoint.dir``, else as a persisted table. Pages are parsed once in any case.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import policy, text
 from pagewright.operators import html, probe, refs, stats, view
-from pagewright.sources.documents import display_name
+from pagewright.sources.documents import display_name, outcome
 
 LEAST_RESOURCES, MOST_RESOURCES, MOST_PAGES = 20, 900, 12
 
@@ -65,10 +67,14 @@ class ScanResult:
 
 
 def _stored(df: DataFrame, workspace: str | None, name: str) -> DataFrame:
-    if workspace is None:
-        return df
-    df.write.mode("overwrite").parquet(f"{workspace}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{workspace}/{name}")
+    """Written below ``workspace`` and read again; without one, below ``spark.checkpoint.dir``; in memory and on disk if neither is set."""
+    spark = df.sparkSession
+    root = workspace or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{root}/{name}" if workspace else f"{root}/scan-{uuid.uuid4().hex}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scan(pages: DataFrame, options: ScanOptions = ScanOptions(), sheets: DataFrame | None = None, workspace: str | None = None) -> ScanResult:
@@ -98,15 +104,16 @@ def scan(pages: DataFrame, options: ScanOptions = ScanOptions(), sheets: DataFra
 
 
 def probed_items(kept: DataFrame, bodies: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Kept references with the facts of their bytes (url, status, body) and the second verdict.
+    """Kept references with the facts of their bytes (url, status, body, and error if there is one) and the second verdict.
 
     References without bytes stay, with status ``pending``.
     """
-    found = kept.join(bodies.select("url", F.col("status").alias("http"), "body"), "url", "left")
+    error = F.col("error") if "error" in bodies.columns else F.lit("")
+    found = kept.join(bodies.select("url", F.col("status").alias("http"), "body", F.coalesce(error, F.lit("")).alias("error")), "url", "left")
     rows = probe.probed(found)
     image, media = F.col("image"), F.col("media")
     rows = rows.withColumns({
-        "status": F.when(F.col("http").isNull(), "pending").when(F.col("http") == 200, "ok").when(F.col("http").isin(404, 410), "missing").when(F.col("http").isin(401, 403), "blocked").otherwise("error"),
+        "status": F.when(F.col("http").isNull(), "pending").otherwise(outcome(F.col("http"), F.col("error"))),
         "size": F.octet_length("body").cast("long"), "mime": F.col("sig.mime"), "width": F.coalesce(image["width"], media["width"]), "height": F.coalesce(image["height"], media["height"]),
         "duration": F.coalesce(media["duration"], image["duration"]), "frames": image["frames"], "symbols": image["symbols"], "glyph_like": image["glyph_like"], "shapes": image["shapes"],
         "view_box": image["view_box"], "icon_set": image["icon_set"], "sizes": image["sizes"], "entries": image["entries"], "sprite": F.coalesce(image["sprite"], F.lit(False)),
@@ -115,6 +122,12 @@ def probed_items(kept: DataFrame, bodies: DataFrame, options: ScanOptions = Scan
     return rows.withColumn("verdict", policy.post_filter(options.policy)).drop("body")
 
 
+def reprobed(items: DataFrame, again: DataFrame) -> DataFrame:
+    """``items`` with those of ``again`` (the same columns, probed once more) in the place of the older ones."""
+    keys = ["page_id", "idx"]
+    return items.join(again.select(*keys), keys, "left_anti").unionByName(again.select(*items.columns))
+
+
 def reprobe(items: DataFrame, ids: DataFrame | None = None, urls: DataFrame | None = None) -> DataFrame:
     """Items to probe once more, by idx or by URL."""
     wanted = []

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.sources.tables import read_spread
+
 _EXT = "case p_partkey % 9 when 0 then 'png' when 1 then 'jpg' when 2 then 'webp' when 3 then 'svg' when 4 then 'mp4' when 5 then 'mp3' when 6 then 'pdf' when 7 then 'css' else 'ico' end"
 _DIR = "case p_partkey % 4 when 0 then 'images' when 1 then 'icons' when 2 then 'ui' else 'media' end"
 
@@ -59,19 +61,21 @@ select p_partkey as item_id, cast(p_partkey % 50 * 40 as double) as l, cast(p_pa
 
 AREAS = """
 select s_suppkey as area_id, cast(s_suppkey % 20 * 90 as double) as l, cast(s_suppkey % 15 * 120 as double) as t,
-    cast(s_suppkey % 20 * 90 + 260 as double) as r, cast(s_suppkey % 15 * 120 + 240 as double) as b from supplier where s_suppkey <= 40"""
+    cast(s_suppkey % 20 * 90 + 260 as double) as r, cast(s_suppkey % 15 * 120 + 240 as double) as b from supplier"""
 
-ELEMENTS = "select l_orderkey * 10 + l_linenumber as el_id, l_partkey as k1, l_suppkey * 3 as k2 from lineitem where l_linenumber <= 3"
+ELEMENTS = "select l_orderkey * 10 + l_linenumber as el_id, l_partkey as k1, l_suppkey * 3 as k2 from lineitem"
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, REFS)
+    """The references; what follows is heavy by the row, so small tables are spread."""
+    return view(spark, sf_dir, REFS, spread=("lineitem",))
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, sql: str, spread: tuple[str, ...] = ()) -> DataFrame:
     """A view's rows; tables are passed by name, so that nothing is registered in the session."""
     names = ("part", "lineitem", "supplier", "events", "nation", "orders", "documents", "pages")
-    used = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names if _uses(sql, n)}
+    path = lambda n: f"{sf_dir}/{n}.parquet"
+    used = {n: read_spread(spark, path(n)) if n in spread else spark.read.parquet(path(n)) for n in names if _uses(sql, n)}
     for n in used:
         sql = _placed(sql, n)
     return spark.sql(sql, **used)

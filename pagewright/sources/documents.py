@@ -5,11 +5,13 @@ The fetch stage takes any function from a request to a response, so that tests a
 
 from __future__ import annotations
 
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 #: Limits of one document, of the cache, and of a fetch.
 SNIFF_BYTES, CACHE_BYTES, CACHE_HOURS, HOPS, WORKERS, FAST_SECONDS, SLOW_SECONDS = 4096, 64 << 20, 24, 5, 12, 8.0, 20.0
+PAGE_BYTES, BUDGET_SECONDS = 8 << 20, 75.0
 DOCUMENT = "url string, status int, content_type string, body binary, total_bytes long, truncated boolean, whole boolean, final_url string, error string"
 
 
@@ -53,13 +56,18 @@ class _Redirects(urllib.request.HTTPRedirectHandler):
     max_redirections = HOPS
 
 
-def fetched(urls: DataFrame, fetch: Fetcher = http_fetch, most_bytes: int = CACHE_BYTES, workers: int = WORKERS) -> DataFrame:
+def fetched(
+    urls: DataFrame, fetch: Fetcher = http_fetch, most_bytes: int = CACHE_BYTES, workers: int = WORKERS, budget: float | None = None
+) -> DataFrame:
     """A row for each URL, fetched by a thread pool in each partition: quickly first, once more with patience.
 
-    A status of 0 with an error stands for no answer. Bodies are cut at ``most_bytes``.
+    A status of 0 with an error stands for no answer. Bodies are cut at ``most_bytes``. With a ``budget`` of seconds, which begins
+    with the task, URLs whose turn comes later are not asked for any more and say so.
     """
 
-    def one(url: str) -> tuple:
+    def one(url: str, until: float) -> tuple:
+        if time.monotonic() > until:
+            return url, 0, "", b"", 0, False, False, url, "时间预算耗尽"
         for seconds in (FAST_SECONDS, SLOW_SECONDS):
             r = fetch(url, most_bytes, seconds)
             if r.status:
@@ -72,10 +80,12 @@ def fetched(urls: DataFrame, fetch: Fetcher = http_fetch, most_bytes: int = CACH
     names = [c.split()[0] for c in DOCUMENT.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        until = time.monotonic() + (float("inf") if budget is None else budget)
         with ThreadPoolExecutor(workers) as pool:
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
-                    rows = [dict(zip(names, r, strict=True)) for r in pool.map(one, batch.column(0).slice(at, 64).to_pylist())]
+                    some = batch.column(0).slice(at, 64).to_pylist()
+                    rows = [dict(zip(names, r, strict=True)) for r in pool.map(one, some, repeat(until))]
                     yield pa.RecordBatch.from_pylist(rows, shape)
 
     shape = urls.sparkSession.createDataFrame([], DOCUMENT).toArrow().schema
@@ -173,6 +183,33 @@ def read_through(urls: DataFrame, cache: DataFrame, fetch: Fetcher = http_fetch,
     return hits.unionByName(new.select(*hits.columns)), new
 
 
+#: Fixed value: what a stored page's address ends with, so that its bytes as a resource stay apart.
+SNAPSHOT = "#doc"
+
+
+def snapshots(documents: DataFrame, cache: DataFrame, saved_at: Column | None = None) -> DataFrame:
+    """Cache rows of the pages among ``documents`` that the cache has no living snapshot of."""
+    pages = documents.where(F.octet_length("body") > 0).withColumn("url", F.concat(F.col("url"), F.lit(SNAPSHOT)))
+    rows = cache_rows(pages.withColumn("content_type", F.when(F.coalesce("content_type", F.lit("")) == "", "text/html; charset=utf-8").otherwise(F.col("content_type"))), saved_at)
+    return rows.join(fresh(cache, saved_at).select("url_sha1"), "url_sha1", "left_anti")
+
+
+def stored_pages(urls: DataFrame, cache: DataFrame, fetch: Fetcher = http_fetch, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages as url, text, content_type, truncated, cached, error; documents that had to be fetched, to be stored).
+
+    The snapshot is read where there is one, else the page is fetched once.
+    """
+    keyed = urls.select("url").where("url is not null").distinct().withColumn("url_sha1", F.sha1(F.concat("url", F.lit(SNAPSHOT)).cast("binary")))
+    known = fresh(cache, now).drop("url")
+    hits = keyed.join(known, "url_sha1").select("url", "status", "content_type", "body", "truncated", F.lit(True).alias("cached"))
+    new = fetched(keyed.join(known, "url_sha1", "left_anti").select("url"), fetch, PAGE_BYTES)
+    rows = hits.unionByName(new.select("url", "status", "content_type", "body", "truncated", F.lit(False).alias("cached")))
+    ok = F.col("status") == 200
+    error = F.when(ok, None).when(F.col("status") > 0, F.concat(F.lit("站点返回 "), F.col("status").cast("string"))).otherwise("无法取得页面原文")
+    text = F.when(ok, decoded_text(F.col("body"), F.col("content_type")))
+    return rows.select("url", text.alias("text"), "content_type", "truncated", "cached", error.alias("error")), new
+
+
 def cached_head(cache: DataFrame, most: int) -> DataFrame:
     """The first bytes of each cached body."""
     return cache.withColumn("body", F.substring("body", 1, most))

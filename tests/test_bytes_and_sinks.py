@@ -114,10 +114,82 @@ def test_documents_and_playlists():
     assert (found["flavor"], found["title"], found["pages"], found["words"]) == ("docx", "Doc", 3, 99)
     assert probe.detect(out.getvalue())["label"].startswith("Word") and len(probe.zip_listing(out.getvalue())) == 3
     master = "#EXTM3U\n#EXT-X-MEDIA:TYPE=AUDIO,LANGUAGE=\"zh\"\n#EXT-X-STREAM-INF:BANDWIDTH=100,RESOLUTION=640x360\na\n#EXT-X-STREAM-INF:BANDWIDTH=900,RESOLUTION=1920x1080\nb"
-    assert probe.playlist_facts(master) == {"kind": "HLS", "variants": 2, "bitrate": 900, "width": 1920, "height": 1080, "audio": 1, "languages": ["zh"]}
-    assert probe.playlist_facts("#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:10482\n#EXTINF:5,\nx\n#EXTINF:10.0,\ny\n#EXT-X-ENDLIST") == {"kind": "HLS", "segments": 2, "duration": 15.0, "first_segment": 10482}
+    listed = ["640x360 · 100 bit/s · a", "1920x1080 · 900 bit/s · b"]
+    assert probe.playlist_facts(master) == {"kind": "HLS", "variants": 2, "variant_list": listed, "bitrate": 900, "width": 1920, "height": 1080, "audio": 1, "languages": ["zh"]}
+    media = "#EXTM3U\n#EXT-X-TARGETDURATION:10\n#EXT-X-MEDIA-SEQUENCE:10482\n#EXT-X-MAP:URI=\"i.mp4\"\n#EXT-X-KEY:METHOD=AES-128\n#EXTINF:5,\nx.ts\n#EXTINF:10.0,\ny\n#EXT-X-ENDLIST"
+    assert probe.playlist_facts(media) == {"kind": "HLS", "segments": 2, "duration": 15.0, "first_segment": 10482, "first_url": "x.ts", "segment_duration": 10.0, "fmp4": True, "encrypted": True}
+    assert probe.playlist_facts("#EXTM3U\n#EXT-X-STREAM-INF:CODECS=\"avc1,mp4a\",FRAME-RATE=25.0,BANDWIDTH=7\nq")["codec"] == "avc1 + mp4a"
     mpd = '<MPD mediaPresentationDuration="PT1M36.5S"><Period><Representation bandwidth="5" width="640"/><Representation bandwidth="9" width="1280"/></Period></MPD>'
-    assert probe.playlist_facts(mpd) == {"kind": "DASH", "variants": 2, "duration": 96.5, "width": 1280, "bitrate": 9, "periods": 1}
+    assert probe.playlist_facts(mpd) == {"kind": "DASH", "variants": 2, "variant_list": ["640x0 · 5 bit/s", "1280x0 · 9 bit/s"], "duration": 96.5, "width": 1280, "bitrate": 9, "periods": 1}
+    mpd = '<MPD type="dynamic"><Period><AdaptationSet lang="zh" codecs="vp9"><SegmentTemplate/><ContentProtection/><Representation frameRate="50/2" bandwidth="5"/>'
+    assert probe.playlist_facts(mpd) == {"kind": "DASH", "live": True, "variants": 1, "variant_list": ["5 bit/s · vp9 · 25 fps"], "bitrate": 5, "codec": "vp9", "adaptive": True, "encrypted": True, "templates": 1, "periods": 1, "languages": ["zh"]}
+
+
+def test_office_properties():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", "<workbook><sheets><sheet name='a'/><sheet name='b'/></sheets></workbook>")
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>x</t></si><si/></sst>")
+        z.writestr("xl/media/pic.png", "x")
+        z.writestr("docProps/core.xml", '<cp:core xmlns:dc="d"><dc:title>A &amp; B</dc:title><dc:subject>S</dc:subject><cp:lastModifiedBy>Me</cp:lastModifiedBy><dcterms:created a="b">2024</dcterms:created>')
+    found = probe.office_facts(out.getvalue())
+    assert (found["flavor"], found["sheets"], found["text_cells"], found["media_files"]) == ("xlsx", 2, 2, 1)
+    assert (found["title"], found["subject"], found["modified_by"], found["created"]) == ("A & B", "S", "Me", "2024")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", "<w:document><w:p>a b</w:p><w:p/><w:drawing></w:drawing>")
+    found = probe.office_facts(out.getvalue())
+    assert (found["paragraphs"], found["images"], found["text_chars"]) == (2, 1, 2)
+
+
+def test_movie_details():
+    box = lambda name, *data: struct.pack(">I", 8 + sum(map(len, data))) + name + b"".join(data)
+    mvhd = box(b"mvhd", bytes(4), struct.pack(">4I", 2082844800 + 86400, 0, 600, 6000), bytes(80))
+    turned = struct.pack(">9i", 0, 65536, 0, -65536, 0, 0, 0, 0, 1 << 30)
+    tkhd = box(b"tkhd", bytes(40), turned, struct.pack(">II", 640 << 16, 360 << 16))
+    hdlr = lambda kind: box(b"hdlr", bytes(8), kind, bytes(12))
+    mdhd = box(b"mdhd", bytes(12), struct.pack(">II", 30000, 300000), bytes(4))
+    video = box(b"stbl", box(b"stsd", bytes(8), struct.pack(">I", 16), b"avc1", bytes(60)), box(b"stts", bytes(4), struct.pack(">3I", 1, 300, 1001)))
+    sound = box(b"stbl", box(b"stsd", bytes(8), struct.pack(">I", 36), b"mp4a", bytes(16), struct.pack(">HHHHI", 2, 16, 0, 0, 44100 << 16)))
+    trak = lambda kind, table: box(b"trak", tkhd, box(b"mdia", mdhd, hdlr(kind), box(b"minf", table)))
+    tag = lambda name, value: box(name, box(b"data", bytes(8), value))
+    tags = box(b"udta", box(b"meta", bytes(4), box(b"ilst", tag(b"\xa9nam", "Nämé".encode()), tag(b"\xa9gen", b"Jazz"), tag(b"covr", b"png"))))
+    moov = box(b"moov", mvhd, trak(b"vide", video), trak(b"soun", sound), tags, box(b"mvex"))
+    start, data = box(b"ftyp", b"isom", bytes(4)), box(b"mdat", bytes(50))
+    found = probe.media_facts(start + moov + data)
+    assert (found["width"], found["height"], found["rotation"], found["frame_rate"], found["duration"]) == (360, 640, 90, 29.97, 10.0)
+    assert (found["codec"], found["channels"], found["sample_rate"], found["tracks"]) == ("H.264 + AAC", 2, 44100, 2)
+    assert (found["title"], found["genre"], found["cover"], found["created"], found["fast_start"], found["fragmented"]) == ("Nämé", "Jazz", True, "1970-01-02 00:00:00", True, True)
+    assert not probe.media_facts(start + data + moov)["fast_start"]
+    late = probe.media_facts(start + data, tail=b"xx" + moov)
+    assert late["frame_rate"] == 29.97 and late["title"] == "Nämé"
+    whole = start + moov + data
+    for cut in range(0, len(whole), 7):
+        probe.total(probe.media_facts, whole[:cut])
+
+
+def test_tags():
+    from pagewright.operators.containers import avi_facts, flv_facts, genre, id3_facts
+
+    old = b"TAG" + b"Name".ljust(30, b"\0") + b"By".ljust(30, b"\0") + b"Album".ljust(30, b"\0") + b"1999" + b"c".ljust(28, b"\0") + b"\0\x07\x08"
+    assert id3_facts(b"", old) == {"title": "Name", "creator": "By", "album": "Album", "year": "1999", "comment": "c", "track": "7", "genre": "Jazz"}
+    assert (genre("(17)"), genre("(8)Bebop"), genre("13"), genre("Own"), genre("250")) == ("Rock", "Jazz / Bebop", "Pop", "Own", "250")
+    frame = lambda name, body: name + struct.pack(">IH", len(body), 0) + body
+    frames = frame(b"TCON", b"\0(17)") + frame(b"TLEN", b"\0" + b"678") + frame(b"COMM", b"\0engnote") + frame(b"APIC", b"x") + frame(b"TRCK", b"\x03" + "3/9".encode())
+    head = b"ID3\x03\0\0" + bytes([0, 0, len(frames) >> 7, len(frames) & 127]) + frames
+    assert id3_facts(head) == {"genre": "Rock", "duration": 0.678, "comment": "note", "cover": True, "track": "3/9"}
+    amf = b"\x02\0\x0aonMetaData\x08\0\0\0\2\0\x08duration\0" + struct.pack(">d", 2.5) + b"\0\x07encoder\x02\0\x02me\0\0\x09"
+    flv = b"FLV\x01\x05" + struct.pack(">I", 9) + bytes(4) + b"\x12" + len(amf).to_bytes(3, "big") + bytes(7) + amf
+    assert flv_facts(flv) == {"has_audio": True, "has_video": True, "duration": 2.5, "software": "me"}
+    strh = b"strh" + bytes(4) + b"vidsXVID" + bytes(12) + struct.pack("<II", 1, 25) + b"INAM" + struct.pack("<I", 4) + b"Film"
+    assert avi_facts(b"RIFF" + bytes(4) + b"AVI " + strh) == {"codec": "Xvid", "frame_rate": 25.0, "title": "Film"}
+
+
+def test_drawings():
+    found = probe.svg_facts('<svg width="32" height="20px"><title>A <b>mark</b></title><desc>d</desc><path stroke="red"/><use/><linearGradient/></svg>')
+    assert found == {"vector": True, "width": 32, "height": 20, "shapes": 1, "uses": 1, "effects": 1, "primitives": 2, "svg_title": "A mark", "svg_desc": "d", "stroke": "red"}
+    assert probe.svg_facts('<svg viewBox="0 0 16 16"><path/></svg>') == {"vector": True, "width": 16, "height": 16, "view_box": "0 0 16 16", "shapes": 1, "primitives": 1, "glyph_like": True}
+    assert probe.svg_facts("none") == {}
 
 
 def test_fonts():
@@ -214,9 +286,9 @@ def test_views_and_selections(spark):
 
 
 def test_element_joins(spark):
-    blocks = spark.createDataFrame([(1, "p", "a  b"), (2, "p", "a b"), (3, "h1", "x")], "block_id int, tag string, text string")
-    elements = spark.createDataFrame([(10, "P", "a b"), (11, "p", " a b "), (12, "p", "a b"), (13, "h2", "x")], "el_id int, tag string, text string")
-    assert sorted(map(tuple, joins.blocks_to_elements(blocks, elements).collect())) == [(1, 10), (2, 11)]
+    blocks = spark.createDataFrame([(1, 1, "p", "a  b"), (1, 2, "p", "a b"), (1, 3, "h1", "x"), (2, 4, "p", "a b")], "page_id int, block_id int, tag string, text string")
+    elements = spark.createDataFrame([(1, 10, "P", "a b"), (1, 11, "p", " a b "), (1, 12, "p", "a b"), (1, 13, "h2", "x")], "page_id int, el_id int, tag string, text string")
+    assert sorted(map(tuple, joins.blocks_to_elements(blocks, elements).collect())) == [(1, 1, 10), (1, 2, 11)]
     tree = spark.createDataFrame([(1, 1, None, "content"), (1, 2, 1, "noise"), (1, 3, 2, "noise"), (1, 4, 2, "main"), (1, 5, 1, "main")], "page_id int, el_id int, parent_id int, zone string")
     assert sorted((r["el_id"], r["zone"]) for r in joins.region_bands(tree).collect()) == [(2, "noise"), (5, "main")]
 
