@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import keep
@@ -35,8 +35,8 @@ from pagewright.llm.common import keep
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates are a parameter; their index is broadcast, and more than these are refused.
-MOST_TEMPLATES = 20_000
+#: Templates of a block: their index is broadcast, and each block of templates reads the texts once.
+BLOCK = 500
 
 #: Public license notices and their labels: fixed values.
 TEMPLATES = (
@@ -94,18 +94,25 @@ def default_templates(spark: SparkSession) -> DataFrame:
 
 
 def template_labels(texts: DataFrame, templates: DataFrame, share: float = 0.8) -> DataFrame:
-    """(blob, labels, score) of the texts (blob, text) with a block that meets a template."""
+    """(blob, labels, score) of the texts (blob, text) with a block that meets a template, for any number of templates."""
     spark = texts.sparkSession
     sets = templates.distinct().select(
         F.xxhash64("label", "template").alias("t_id"), "label", F.array_distinct(words_of(F.col("template"))).alias("words"),
         F.size(words_of(F.col("template"))).alias("n"),
     )
-    sets = sets.where(F.size("words") > 0)
-    listed = sets.limit(MOST_TEMPLATES + 1).collect()
-    if len(listed) > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates")
-    if not listed:
-        return spark.createDataFrame([], "blob binary, labels array<string>, score double")
+    sets = keep(sets.where(F.size("words") > 0), "templates")
+    blocks = math.ceil(sets.count() / BLOCK)
+    found = spark.createDataFrame([], "blob binary, label string, share double")
+    for k in range(blocks):
+        listed = sets.where(F.pmod("t_id", F.lit(blocks)) == k).collect()
+        if listed:
+            found = found.unionByName(_block_labels(texts, listed, share))
+    return found.groupBy("blob").agg(F.collect_set("label").alias("labels"), F.max("share").alias("score"))
+
+
+def _block_labels(texts: DataFrame, listed: list[Row], share: float) -> DataFrame:
+    """(blob, label, share) of the texts and the templates (t_id, label, words, n) that they meet."""
+    spark = texts.sparkSession
     vocabulary = sorted({w for r in listed for w in r["words"]})
     spoken = texts.select(F.explode(F.split("text", _BETWEEN)).alias("word")).select(F.lower("word").alias("word"))
     seen = spoken.where(F.col("word").isin(vocabulary)).groupBy("word").count()
@@ -153,8 +160,7 @@ def template_labels(texts: DataFrame, templates: DataFrame, share: float = 0.8)
     places = F.sequence(F.lit(0), F.greatest(F.size("around") - F.col("n"), F.lit(0)))
     held = F.transform(places, lambda k: F.size(F.array_intersect(F.col("wanted"), F.slice(F.col("around"), k + 1, F.col("n")))))
     windows = near.select("blob", "label", "t", "need", F.array_max(held).alias("held")).where("held >= need")
-    found = found.unionByName(windows.select("blob", "label", (F.col("held") / F.col("t")).alias("share")))
-    return found.groupBy("blob").agg(F.collect_set("label").alias("labels"), F.max("share").alias("score"))
+    return found.unionByName(windows.select("blob", "label", (F.col("held") / F.col("t")).alias("share")))
 
 
 def scan_licenses(
