@@ -206,9 +206,10 @@ def score(
     columns: list[str] | None = None,
     text_col: str = "text",
 ) -> DataFrame:
-    """The given columns with expected_grade, p_at_least (a tail probability per grade) and keep."""
-    columns = docs.columns if columns is None else columns
-    return _scored(docs, model, keep_grade, columns, text_col).toDF(*columns, "expected_grade", "p_at_least", "keep")
+    """The given columns with expected_grade, p_at_least (a tail probability per grade) and keep, which replace columns of these names."""
+    own = ("expected_grade", "p_at_least", "keep")
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in own]
+    return _scored(docs, model, keep_grade, columns, text_col).toDF(*columns, *own)
 
 
 def kept(docs: DataFrame, model: OrdinalModel | None, keep_grade: int = 2, text_col: str = "text") -> DataFrame:
