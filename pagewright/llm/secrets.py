@@ -125,14 +125,19 @@ def update_ledger(
     return keep(scan(todo, rules, version), "ledger")
 
 
-def findings(docs: DataFrame, ledger: DataFrame, columns: list[str], text_col: str = "text", version: int = RULES_VERSION) -> DataFrame:
-    """Every row's given columns with the spans of its blob (an empty array if none) as ``found_spans``."""
+def findings(
+    docs: DataFrame, ledger: DataFrame, columns: list[str], text_col: str = "text", version: int = RULES_VERSION, spans: str = "found_spans"
+) -> DataFrame:
+    """Every row's given columns with the spans of its blob (an empty array if none), in a column whose name must not be one of them."""
+    if spans in columns:
+        raise ValueError(f"{spans} is a column of the table; give the spans another name")
     held = ledger.where(F.col("rules_version") == version).where(F.size("spans") > 0)
-    held = held.select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans"))
-    paths = docs.select(*columns, blob_of(F.col(text_col)).alias("own_blob"))
+    held = held.select(F.col("blob").alias("found_blob"), F.col("spans").alias("found"))
+    names = [f"c{k}" for k in range(len(columns))]
+    paths = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)), blob_of(F.col(text_col)).alias("own_blob"))
     empty = F.array().cast("array<struct<start:long,kind_no:int,kind:string,end:long>>")
     out = paths.join(held, F.col("own_blob") == F.col("found_blob"), "left")
-    return out.select(*columns, F.coalesce("found_spans", empty).alias("found_spans"))
+    return out.select(*names, F.coalesce("found", empty).alias("found")).toDF(*columns, spans)
 
 
 def joined(spans: Column) -> Column:

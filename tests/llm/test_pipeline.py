@@ -114,6 +114,19 @@ def test_rows_with_null_and_repeated_ids_are_decided_by_their_own_text(spark, co
     assert clean == sorted([r for r in rows if r[1] not in (items[0][1], items[1][1])], key=repr)
 
 
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(30)
+    names = ["_row", "own_blob", "found_spans", "_spans", "a.b", "keep", "fp", "component_id"]
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    docs = keep(docs, "named")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert all(r[n] == n for r in out.collect() for n in names)
+
+
 def test_no_documents(spark, corpus):
     folder, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)

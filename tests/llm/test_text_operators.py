@@ -1,12 +1,16 @@
 """License scans, secret scans, decontamination and the quality classifier against plain Python."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from pagewright.llm import decontaminate, licenses, quality, secrets
+from pagewright.llm import decontaminate, licenses, quality, secrets, shingles
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -87,6 +91,26 @@ PLAIN = {
 }
 
 
+def test_templates_in_blocks_give_the_same(spark, monkeypatch):
+    texts = [t for _, t in licenses.TEMPLATES] + ["nothing here", licenses.TEMPLATES[1][1].replace(" ", "\n", 9) + " and more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(map(tuple, licenses.scan_licenses(docs).collect()))
+    monkeypatch.setattr(licenses, "BLOCK", 3)
+    assert sorted(map(tuple, licenses.scan_licenses(docs).collect())) == whole and all(r[6] for r in whole[: len(licenses.TEMPLATES)])
+    none = licenses.default_templates(spark).limit(0)
+    assert {r["labels"] for r in licenses.scan_licenses(docs.where("doc_id = 16"), none).collect()} == {""}
+
+
+def test_findings_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh12", b"x", "b", 3)], "doc_id long, text string, own_blob binary, `a.b` string, found_spans int")
+    ledger = secrets.update_ledger(docs)
+    found = secrets.findings(docs, ledger, docs.columns, spans="s")
+    row = found.first()
+    assert found.columns == [*docs.columns, "s"] and bytes(row["own_blob"]) == b"x" and row["a.b"] == "b" and row["found_spans"] == 3 and len(row["s"]) == 1
+    with pytest.raises(ValueError):
+        secrets.findings(docs, ledger, docs.columns)
+
+
 def test_secrets(spark):
     rng = random.Random(1)
     parts = [
@@ -239,6 +263,87 @@ def test_classifier_on_held_out_documents(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["keep"] for r in scored)
 
 
+MASK = 2**64 - 1
+
+
+def plain_mix(x):
+    x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD & MASK
+    x = (x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53 & MASK
+    return x ^ (x >> 33)
+
+
+def plain_features(text):
+    """The features of a text as a set, by plain integers, word by word."""
+    data = (text or "").encode()
+    table = [int(x) for x in shingles._TABLE]
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", data)
+    if not words:
+        return set()
+    span = (1 << quality.BITS) - quality.STYLE
+    poly = lambda w: sum(table[c] * pow(0x9E3779B97F4A7C15, k, 2**64) for k, c in enumerate(w)) & MASK
+    hashes = [plain_mix((poly(w) + len(w)) & MASK) for w in words]
+    heads = [plain_mix(poly(w[: quality.HEAD]) ^ MASK) for w in words]
+    out = {h % span + quality.STYLE for h in hashes + heads}
+    counts = Counter(data)
+    groups = [counts[c] for c in [*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]]
+    groups += [sum(counts[c] for c in range(65, 91)), sum(counts[c] for c in range(48, 58))]
+    for k, n in enumerate(groups):
+        if share := math.floor(2 * math.log2(1 + 500 * n / len(data))):
+            out.add(k * 32 + share + 64)
+    return out | {int(len(set(hashes)) / len(hashes) * 20), 32 + len(words).bit_length()}
+
+
+def test_features_equal_plain_ones():
+    texts = ["One two two, THREE 44!", "", None, "%%%", "é ß 漢字 word" * 3, "a" * 40 + " b", "Line\nline\ttab 1.5", "x"]
+    found = list(quality.features(pa.array([t.encode() if t is not None else None for t in texts], pa.binary())))
+    assert [set(f.tolist()) for f in found] == [plain_features(t) for t in texts]
+    assert all(len(f) == len(set(f.tolist())) for f in found)
+
+
+def plain_likelihood(weights, thresholds, rows, grades, l2):
+    """Penalised log likelihood of the cumulative-link model, document by document."""
+    out = -l2 / 2 * sum(w * w for w in weights.values())
+    for row, grade in zip(rows, grades, strict=True):
+        score = sum(weights.get(int(k), 0.0) for k in row)
+        tail = lambda k: 1.0 if k == 0 else 0.0 if k > len(thresholds) else 1 / (1 + math.exp(thresholds[k - 1] - score))  # noqa: B023, E731
+        out += math.log(max(tail(grade) - tail(grade + 1), 1e-9))
+    return out
+
+
+def test_fit_is_a_maximum_of_the_plain_likelihood():
+    rng = random.Random(15)
+    rows, grades = [], []
+    for _ in range(240):
+        grade = rng.randrange(3)
+        own = {rng.randrange(1, 12), 20 + (grade if rng.random() < 0.7 else rng.randrange(3)), 30 + (grade > 0 and rng.random() < 0.8)}
+        rows.append(np.array(sorted(own), np.int64))
+        grades.append(grade)
+    model = quality.fit(rows, np.array(grades), steps=900)
+    weights = {int(k): float(model.weights[k]) for k in np.flatnonzero(model.weights)}
+    assert weights and min(weights) >= 20 and list(model.thresholds) == sorted(model.thresholds)
+    best = plain_likelihood(weights, model.thresholds, rows, grades, 0.3)
+    for k in weights:
+        for step in (-0.05, 0.05):
+            assert plain_likelihood(weights | {k: weights[k] + step}, model.thresholds, rows, grades, 0.3) < best + 1e-4
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            moved = [t + step * (i == k) for i, t in enumerate(model.thresholds)]
+            assert plain_likelihood(weights, moved, rows, grades, 0.3) < best + 1e-4
+    for row in rows[:40]:
+        score = sum(weights.get(int(k), 0.0) for k in row)
+        assert np.allclose(model.tails(row), [1 / (1 + math.exp(t - score)) for t in model.thresholds], atol=1e-5)
+
+
+def test_scores_replace_columns_of_their_names(spark):
+    model = quality.OrdinalModel(np.ones(1 << quality.BITS, np.float32), np.array([0.0, 1.0]))
+    docs = spark.createDataFrame([(1, "a b", 5, "x", "y")], "doc_id long, text string, keep int, expected_grade string, `p.q` string")
+    for m in (model, None):
+        found = quality.score(docs, m)
+        assert found.columns == ["doc_id", "text", "p.q", "expected_grade", "p_at_least", "keep"] and found.first()["keep"] is True
+        kept = quality.kept(docs, m)
+        assert kept.columns == docs.columns and kept.first()["keep"] == 5
+
+
 def test_without_ratings_everything_stays(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = quality.train(docs, spark.createDataFrame([], "id long, grade int"))
