@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import keep
 from pagewright.llm.tokens import encoder
 
-#: Pieces of one length that are ranked together.
-SLICE = 50_000
+#: Pieces of one length that are ranked together, and the part of all pieces that these are at most.
+SLICE, SLICES = 50_000, 256
 UPDATES = 100
 #: Share of the solution that is rounded; greedy packing has the rest.
 ROUNDED = 0.9
@@ -184,7 +184,8 @@ def pack(
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = spark.sparkContext.broadcast(slots(plan(histogram, window)))
     # A row for each length that occurs, the window's at most.
-    parts = spark.createDataFrame([(k, -(-n // SLICE)) for k, n in histogram.items()], "length long, parts long")
+    most = max(1, min(SLICE, sum(histogram.values()) // SLICES))
+    parts = spark.createDataFrame([(k, -(-n // most)) for k, n in histogram.items()], "length long, parts long")
     sliced = pieces.join(F.broadcast(parts), "length").withColumn("slice", F.pmod(F.xxhash64("id", "start"), F.col("parts"))).drop("parts")
     counts = keep(sliced.groupBy("length", "slice").agg(F.count("*").alias("n")), "counts")
 
