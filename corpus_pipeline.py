@@ -23,7 +23,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    """The documents with a hash of id and text as ``_row``; a column of that name comes back by ``_own``."""
+    return docs.toDF(*(f"{c}_" if c.startswith("_row") else c for c in docs.columns)).withColumn("_row", F.xxhash64("doc_id", "text"))
+
+
+def _own(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.drop("_row").toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +43,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = rows.join(placed.where("gone").select("_row"), "_row", "left_anti")
     repeated = keep(placed.where("not gone and n > 1").select("_row"), "repeated")
     if repeated.isEmpty():
-        return kept.select(docs.columns)
+        return _own(kept, docs)
     once = kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.join(repeated, "_row", "left_anti").unionByName(once).select(docs.columns)
+    return _own(kept.join(repeated, "_row", "left_anti").unionByName(once), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,19 +53,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = _keyed(docs)
     found = decontaminate.leaks(rows.select("_row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
     gone = keep(found.select("_row").distinct(), "leaked")
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    return _own(rows.join(gone, "_row", "left_anti"), docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced by a mask; n_chars follows the text."""
-    ledger = secrets.update_ledger(docs)
-    found = secrets.findings(docs, ledger, docs.columns)
-    clean = secrets.redacted(F.col("text"), F.col("found_spans"))
-    out = found.withColumn("text", clean)
-    hit = F.size("found_spans") > 0
+    ledger = secrets.update_ledger(docs.select("doc_id", "text"))
+    spans = "_spans"
+    while spans in docs.columns:
+        spans += "_"
+    found = secrets.findings(docs, ledger, docs.columns, spans=spans)
+    out = found.withColumn("text", secrets.redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(spans)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
