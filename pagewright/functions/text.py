@@ -37,7 +37,6 @@ STOP_HAN = (
 )
 
 _KEYWORD = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{3,}")
-_HAN_RUN = re.compile("[一-鿿]{2,}")
 _RUN = re.compile(f"{SPACE}+")
 _LATIN = re.compile(LATIN_WORD)
 _SEPARATOR = re.compile("[\x1c-\x1f]")
@@ -99,34 +98,35 @@ def count_words(text: str) -> int:
     return len(han) + len(re.findall(LATIN_WORD, re.sub(CJK, " ", text)))
 
 
+def _latin(text: str) -> Iterator[str]:
+    terms = (w.lower().rstrip(".") for w in _KEYWORD.findall(text))
+    return (t for t in terms if len(t) <= 24 and t not in _STOP)
+
+
 def term_scores(text: str) -> Counter:
     """Latin terms count 1, Han n-grams (2 to 4 characters) half their length."""
-    scores: Counter = Counter()
-    for word in _KEYWORD.findall(text):
-        term = word.lower().rstrip(".")
-        if len(term) <= 24 and term not in _STOP:
-            scores[term] += 1
-    for run in _HAN_RUN.findall(text):
-        for size in (2, 3, 4):
-            for at in range(len(run) - size + 1):
-                gram = run[at : at + size]
-                if not _STOP_HAN.intersection(gram):
-                    scores[gram] += size / 2
+    scores = Counter(_latin(text))
+    for size, pattern in _HAN_GRAMS.items() if not text.isascii() else ():
+        for gram, n in Counter(pattern.findall(text)).items():
+            if _STOP_HAN.isdisjoint(gram):
+                scores[gram] += n * size / 2
     return scores
 
 
+#: Every run of as many Han characters, overlapping ones too.
+_HAN_GRAMS = {size: re.compile(f"(?=([一-鿿]{{{size}}}))") for size in (2, 3, 4)}
 _STOP, _STOP_HAN = set(STOP_WORDS), set(STOP_HAN)
 
 
 def top_keywords(text: str, most: int = 26) -> list[tuple[str, int]]:
-    """The best terms by score, then term; those inside a longer picked term go."""
-    picked: list[tuple[str, int]] = []
-    for term, score in sorted(term_scores(text).items(), key=lambda x: (-x[1], x[0])):
-        if score < 2 or len(picked) == most:
-            break
-        if not any(len(p) > len(term) and term in p for p, _ in picked):
-            picked.append((term, int(score + 0.5)))
-    return picked
+    """The best terms of a score of 2 or more, by score, then term; those inside a longer picked term go."""
+    ranked = sorted((-score, term) for term, score in term_scores(text).items() if score >= 2)
+    picked: dict[str, int] = {}
+    for negative, term in ranked:
+        inside = any(term in p and term != p for p in picked)
+        if len(picked) < most and not inside:
+            picked[term] = int(0.5 - negative)
+    return list(picked.items())
 
 
 # ------------------------------------------------------------------ columns
