@@ -228,6 +228,43 @@ def format_seconds(seconds: Column) -> Column:
     return F.when(seconds.isNull() | (seconds <= 0), "").when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    """A number with so many digits, from its binary value; ties go up."""
+    return F.format_string(f"%.{digits}f", half_up(value, digits))
+
+
+def format_ms(ms: Column) -> Column:
+    """Milliseconds below a second, else seconds with two digits, one from ten."""
+    seconds = ms / 1000.0
+    text = F.when(ms < 10000, _fixed(seconds, 2)).otherwise(_fixed(seconds, 1))
+    return F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit("ms"))).otherwise(F.concat(text, F.lit("s")))
+
+
+def format_duration(seconds: Column) -> Column:
+    """A length of time in words: milliseconds, seconds, minutes and seconds, hours and minutes."""
+    s = seconds.cast("double")
+    m, rest = F.floor(s / 60), F.floor(s % 60 + 0.5)
+    short = F.concat(F.when(s < 10, _fixed(s, 2)).otherwise(_fixed(s, 1)), F.lit(" 秒"))
+    return (
+        F.when(s.isNull(), "—").when(s < 1, F.concat(F.floor(s * 1000 + 0.5).cast("string"), F.lit(" 毫秒"))).when(s < 60, short)
+        .when(m < 60, F.format_string("%d 分 %02d 秒", m, rest)).otherwise(F.format_string("%d 时 %d 分", F.floor(m / 60), m % 60))
+    )
+
+
+def pixels_label(width: Column, height: Column) -> Column:
+    """Width by height, with megapixels from one on; empty if either is unknown."""
+    area = width.cast("double") * height / 1e6
+    many = F.when(area >= 1, F.concat(F.lit(" · "), _fixed(area, 1), F.lit("MP"))).otherwise("")
+    label = F.concat(width.cast("string"), F.lit("×"), height.cast("string"), many)
+    return F.when((F.coalesce(width, F.lit(0)) > 0) & (F.coalesce(height, F.lit(0)) > 0), label).otherwise("")
+
+
+def format_hint(ext: Column, kind: Column, mime: Column) -> Column:
+    """The format to show: the extension, else the second half of the MIME type, else the type; in capitals."""
+    by_mime = F.regexp_extract(F.coalesce(mime, F.lit("")), r"(?i)/([a-z0-9.+-]+)", 1)
+    return F.upper(F.when((F.coalesce(ext, F.lit("")) != "") & kind.isNotNull(), ext).when(by_mime != "", by_mime).otherwise(kind))
+
+
 def half_up(value: Column, digits: int = 0) -> Column:
     """Rounding half towards plus infinity."""
     scale = float(10**digits)

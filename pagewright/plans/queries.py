@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions import policy, region, text, types
+from pagewright.functions import policy, region, registry, text, types
 from pagewright.functions.urlmeta import url_meta_col
-from pagewright.operators import export, html, joins, probe, refs, stats, view
+from pagewright.operators import bundle, export, html, joins, probe, refs, stats, view
 from pagewright.plans import views
+from pagewright.sources import documents
 from pagewright.sources.tables import read_spread
 from pagewright.streaming import events as event_log
 from pagewright.streaming import pages as page_stream
+from pagewright.streaming.progress import progress_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,7 +122,12 @@ def page_region_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.region_summary_of(extracted(spark, sf_dir, "refs", "blocks"))
 
 
-@query()
+@query(f"""with {_BLOCKS}, w as (select page_id, regexp_replace(lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+.-]{{3,}}'))), '\\.+$', '') as term from blocks where zone <> 'noise'),
+c as (select page_id, term, count(*) as score from w where length(term) <= 24 and term not in ({", ".join(f"'{w}'" for w in text.STOP_WORDS)}) group by page_id, term having count(*) >= 2),
+r as (select *, row_number() over (partition by page_id order by score desc, term) as k from c),
+f as (select page_id, term, score, k from r a where not exists (from r b where b.page_id = a.page_id and b.k < a.k and length(b.term) > length(a.term) and contains(b.term, a.term))),
+n as (select page_id, row_number() over (partition by page_id order by k) as position, term, score from f)
+select page_id, position, term, score from n where position <= 26""")
 def page_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.exploded(extracted(spark, sf_dir, "keywords"), "keywords").select("page_id", "position", "term", "score")
 
@@ -281,7 +288,14 @@ def asset_family_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.view(spark, sf_dir, views.URLS).select("p_partkey", types.asset_family(F.col("url")).alias("family"))
 
 
-@query()
+@query("""with u as (select p_partkey, p_size, p_partkey % 7 as h, p_partkey % 3 as q,
+    case p_partkey % 9 when 0 then 'png' when 1 then 'jpg' when 2 then 'webp' when 3 then 'svg' when 4 then 'mp4' when 5 then 'mp3' when 6 then 'pdf' when 7 then 'css' else 'ico' end as ext,
+    case p_partkey % 4 when 0 then 'images' when 1 then 'icons' when 2 then 'ui' else 'media' end as dir from part)
+select p_partkey, concat('https://img', h, '.example.com/', dir, '/', p_partkey, '-', p_size * 20, 'x', p_size * 10, '.', ext, case q when 0 then concat('?w=', p_size * 20, '&q=75') when 1 then '?v=2&ref=a' else '' end) as url,
+    p_size * 20 as width, p_size * 10 as height, null as dpr, case q when 0 then 75 end as quality, ext,
+    case ext when 'png' then 'image/png' when 'jpg' then 'image/jpeg' when 'webp' then 'image/webp' when 'svg' then 'image/svg+xml' when 'mp4' then 'video/mp4' when 'mp3' then 'audio/mpeg'
+        when 'pdf' then 'application/pdf' when 'css' then 'text/css' else 'image/vnd.microsoft.icon' end as mime,
+    null as provider, null as square, p_size * 20 as edge, null as "inner", null as badge, null as emoji, null as avatar, null as chrome from u""")
 def url_meta_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.view(spark, sf_dir, views.URLS).select("p_partkey", "url", url_meta_col(F.col("url")).alias("m")).select("p_partkey", "url", "m.*")
 
@@ -777,3 +791,216 @@ def region_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone = F.when(key % 5 == 0, "noise").when(key % 5 == 1, "main").otherwise("content")
     tree = table(spark, sf_dir, "orders").select(key.alias("el_id"), F.floor(key / 4).alias("parent_id"), (F.col("o_custkey") % 50).alias("page_id"), zone.alias("zone"))
     return joins.region_bands(tree)
+
+
+# ------------------------------------------------------------------ generated documents and bytes
+
+
+_RICH_PAGE = (
+    '<html><head><base href="https://cdn.example/b/"><link rel="icon" href="f%K%.ico"><link rel="canonical" href="/c%K%"><meta property="og:image" content="og%K%.jpg"></head><body>'
+    '<img src="/i/%K%.png" srcset="s%K%.webp 2x, /t%K%.webp 640w" width="%W%" alt="a %K%"><div data-src="lazy%K%.jpg" style="background:url(bg%K%.png);width:%W%px"></div>'
+    '<video poster="p%K%.jpg"><source src="v%K%.mp4" type="video/mp4"></video><noscript><img src="n%K%.gif"></noscript>'
+    '<nav><a href="d%K%.pdf" download="d">doc</a></nav><iframe srcdoc="&lt;img src=&quot;x%K%.png&quot;&gt;"></iframe><script>var a = {src: "https://j.example/k%K%.mp3"}; </script></body></html>'
+)
+
+
+def _rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    page = F.replace(F.replace(F.lit(_RICH_PAGE), F.lit("%K%"), key), F.lit("%W%"), (F.col("p_size") * 10).cast("string"))
+    return heavy(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://site.example/dir/page").alias("url"), page.alias("html"))
+
+
+_RICH_REFS = (
+    ("concat('https://cdn.example/b/f', k, '.ico')", "link", "href", "icon", "content"), ("concat('https://cdn.example/c', k)", "link", "href", "page", "content"),
+    ("concat('https://cdn.example/b/og', k, '.jpg')", "meta", "meta:og:image", "image", "content"), ("concat('https://cdn.example/i/', k, '.png')", "img", "src", "image", "content"),
+    ("concat('https://cdn.example/b/s', k, '.webp')", "img", "srcset", "image", "content"), ("concat('https://cdn.example/t', k, '.webp')", "img", "srcset", "image", "content"),
+    ("concat('https://cdn.example/b/lazy', k, '.jpg')", "div", "data-src", "image", "content"), ("concat('https://cdn.example/b/bg', k, '.png')", "div", "style:url", None, "content"),
+    ("concat('https://cdn.example/b/p', k, '.jpg')", "video", "poster", "video", "content"), ("concat('https://cdn.example/b/v', k, '.mp4')", "source", "src", "video", "content"),
+    ("concat('https://cdn.example/b/n', k, '.gif')", "img", "noscript:src", "image", "content"), ("concat('https://cdn.example/b/d', k, '.pdf')", "a", "a[download]", "document", "noise"),
+    ("concat('https://cdn.example/b/x', k, '.png')", "img", "srcdoc:src", "image", "content"), ("concat('https://j.example/k', k, '.mp3')", "inferred", "script", "audio", "content"),
+)
+_RICH_ROWS = " union all ".join(
+    f"select k as page_id, {url} as url, '{tag}' as tag, '{attr}' as attr, {f"'{hint}'" if hint else 'null'} as hint, '{zone}' as zone from p" for url, tag, attr, hint, zone in _RICH_REFS
+)
+
+
+@query(f"with p as (select p_partkey as k from part) {_RICH_ROWS}")
+def page_references_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of pages with images, srcset, lazy attributes, styles, media, noscript, srcdoc, downloads and scripts, the first of each URL."""
+    rows = html.exploded(html.extract_pages(_rich_pages(spark, sf_dir), parts=("refs",)), "refs")
+    first = refs.keep_first(rows.where("url is not null"), ["page_id", "url"], ["seq"])
+    return first.select("page_id", "url", "tag", "attr", "hint", "zone")
+
+
+@query("""select p_partkey as page_id, concat('https://cdn.example/b/f', p_partkey, '.ico') as favicon, concat('https://cdn.example/c', p_partkey) as canonical,
+    concat('og', p_partkey, '.jpg') as og_image, 'https://cdn.example/b/' as base from part""")
+def page_icons_and_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_rich_pages(spark, sf_dir), parts=("doc",)).select("page_id", "doc.favicon", "doc.canonical", "doc.og_image", "doc.base")
+
+
+def _le(value, size: int):
+    """An integer as little-endian hexadecimal digits."""
+    digits = F.lpad(F.hex(value), 2 * size, "0")
+    return F.concat(*(F.substring(digits, 2 * (size - k) - 1, 2) for k in range(size)))
+
+
+def _be(value, size: int):
+    return F.lpad(F.hex(value), 2 * size, "0")
+
+
+def _ascii(value: str):
+    return F.lit(value.encode("latin-1").hex().upper())
+
+
+def _box(name: str, *parts):
+    """An ISO box in hexadecimal digits."""
+    body = F.concat(*parts)
+    return F.concat(_be((F.char_length(body) / 2 + 8).cast("long"), 4), _ascii(name), body)
+
+
+@query("""select p_partkey, unnest(['gif', 'jpg', 'bmp', 'svg', 'wav', 'mp4']) as format, unnest([p_size * 3, p_size * 4, p_size * 5, p_size, null, p_size * 16]) as width,
+    unnest([p_size * 2, p_size * 3, p_size * 7, p_size + 1, null, p_size * 9]) as height, unnest([null, null, null, null, p_size::double, p_size / 2.0]) as duration from part""")
+def media_facts_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and durations of generated GIF, JPEG, BMP, SVG, WAV and MP4 files."""
+    n = F.col("p_size").cast("long")
+    zero = lambda k: F.lit("00" * k)
+    gif = F.concat(_ascii("GIF89a"), _le(n * 3, 2), _le(n * 2, 2), F.lit("000000" + "2C" + "00" * 9 + "02" + "00" + "3B"))
+    jpg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), _be(n * 3, 2), _be(n * 4, 2), F.lit("03012200021101031101FFD9"))
+    bmp = F.concat(_ascii("BM"), zero(12), F.lit("28000000"), _le(n * 5, 4), _le(n * 7, 4), F.lit("01001800"), zero(24))
+    wav = F.concat(_ascii("RIFF"), zero(4), _ascii("WAVEfmt "), F.lit("10000000" + "0100" + "0100"), _le(F.lit(10), 4), _le(F.lit(10), 4), F.lit("01000800"), _ascii("data"), _le(n * 10, 4), F.repeat(F.lit("00"), (n * 10).cast("int")))
+    matrix = F.lit("00010000" + "00" * 12 + "00010000" + "00" * 12 + "40000000")
+    tkhd = _box("tkhd", zero(40), matrix, _be(n * 16 * 65536, 4), _be(n * 9 * 65536, 4))
+    hdlr = _box("hdlr", zero(8), _ascii("vide"), zero(12))
+    mvhd = _box("mvhd", zero(12), _be(F.lit(1000), 4), _be(n * 500, 4), zero(80))
+    mp4 = F.concat(_box("ftyp", _ascii("isom"), zero(4)), _box("moov", mvhd, _box("trak", tkhd, _box("mdia", hdlr))))
+    svg = F.hex(F.concat(F.lit('<svg viewBox="0 0 '), n.cast("string"), F.lit(" "), (n + 1).cast("string"), F.lit('"><path d="M0 0"/></svg>')))
+    made = F.array(*(F.struct(F.lit(f).alias("format"), F.unhex(h).alias("body")) for f, h in (("gif", gif), ("jpg", jpg), ("bmp", bmp), ("svg", svg), ("wav", wav), ("mp4", mp4))))
+    rows = heavy(spark, sf_dir, "part").select("p_partkey", F.explode(made).alias("f")).select("p_partkey", "f.*")
+    read = rows.select("p_partkey", "format", probe.image_meta(F.col("body"), F.lit("")).alias("i"), probe.media_meta(F.col("body"), F.lit("")).alias("m"))
+    return read.select("p_partkey", "format", F.coalesce("i.width", "m.width").alias("width"), F.coalesce("i.height", "m.height").alias("height"), F.col("m.duration").alias("duration"))
+
+
+@query("""select p_partkey, p_size as pages, 595 as page_width, 'A4' as page_size, concat('T ', p_partkey) as title, '2024-05-01' as created, 'docx' as flavor, p_size * 3 as words,
+    concat('Doc ', p_partkey) as doc_title, 3 as entries, 'HLS' as playlist, 2 as variants, 1920 as best, p_size * 1000 as bitrate from part""")
+def document_facts_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of generated PDF and Office files and HLS playlists."""
+    n, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    pdf = F.concat(F.lit("%PDF-1.4 1 0 obj<</Type /Pages /Count "), n, F.lit(">> /MediaBox [0 0 595 842] /Title (T "), key, F.lit(") /CreationDate (D:20240501120000)"))
+    hls = F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH="), n, F.lit("000,RESOLUTION=1920x1080\na\n#EXT-X-STREAM-INF:BANDWIDTH=1,RESOLUTION=64x36\nb\n"))
+    part = heavy(spark, sf_dir, "part")
+    bodies = (
+        ("word/document.xml", F.lit("<w:document/>")), ("docProps/core.xml", F.concat(F.lit("<c><dc:title>Doc "), key, F.lit("</dc:title></c>"))),
+        ("docProps/app.xml", F.concat(F.lit("<p><Words>"), (F.col("p_size") * 3).cast("string"), F.lit("</Words></p>"))),
+    )
+
+    @F.udf("binary", useArrow=True)
+    def zipped(core, app):
+        import io
+
+        out = io.BytesIO()
+        export.write_zip([("word/document.xml", b"<w:document/>"), ("docProps/core.xml", core.encode()), ("docProps/app.xml", app.encode())], out)
+        return out.getvalue()
+
+    rows = part.select("p_partkey", F.encode(pdf, "utf-8").alias("pdf"), hls.alias("hls"), zipped(bodies[1][1], bodies[2][1]).alias("docx"))
+    read = rows.select("p_partkey", probe.pdf_meta(F.col("pdf")).alias("p"), probe.office_meta(F.col("docx")).alias("o"), probe.playlist_meta(F.col("hls")).alias("l"))
+    return read.select(
+        "p_partkey", "p.pages", "p.page_width", "p.page_size", "p.title", "p.created", "o.flavor", "o.words", F.col("o.title").alias("doc_title"), "o.entries",
+        F.col("l.kind").alias("playlist"), "l.variants", F.col("l.width").alias("best"), "l.bitrate",
+    )
+
+
+@query("select doc_id, md5(text) as digest, 'gbk' as charset from documents where text is not null union all select doc_id, md5(text), 'utf-8' from documents where text is not null")
+def decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bytes of two charsets, told by the header or by a meta tag, and read back."""
+
+    @F.udf("binary", useArrow=True)
+    def encoded(text):
+        return text.encode("gb18030")
+
+    rows = heavy(spark, sf_dir, "documents").where("text is not null")
+    gbk = rows.select("doc_id", encoded(F.col("text")).alias("body"), F.lit("text/html; charset=gb18030").alias("type"), F.lit("gbk").alias("charset"))
+    utf8 = rows.select("doc_id", F.encode("text", "utf-8").alias("body"), F.lit("text/html; charset=utf-8").alias("type"), F.lit("utf-8").alias("charset"))
+    read = gbk.unionByName(utf8).withColumn("text", documents.decoded_text(F.col("body"), F.col("type")))
+    return read.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("digest"), "charset")
+
+
+@query("""with u as (select l_orderkey, concat('https://h', l_partkey % 50, '.example/', l_suppkey % 40) as url, l_shipdate from lineitem),
+n as (select url, max(l_shipdate) as saved from u group by url)
+select url, saved > (select max(l_shipdate) from lineitem) - interval 240 hour as cached from n""")
+def cache_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs that a byte cache of living rows answers, and those that have to be fetched."""
+    items_ = table(spark, sf_dir, "lineitem")
+    url = F.concat(F.lit("https://h"), (F.col("l_partkey") % 50).cast("string"), F.lit(".example/"), (F.col("l_suppkey") % 40).cast("string"))
+    rows = items_.select(url.alias("url"), F.col("l_shipdate").alias("at"))
+    answers = rows.select("url", F.lit(200).alias("status"), F.lit("text/plain").alias("content_type"), F.encode("url", "utf-8").alias("body"), F.lit(False).alias("truncated"), F.col("url").alias("final_url"), "at")
+    cache = documents.cache_rows(answers.withColumn("error", F.lit("")), F.col("at"))
+    now = items_.agg(F.max("l_shipdate").alias("now"))
+    living = documents.fresh(cache.join(F.broadcast(now)), F.col("now"), 240).select("url", F.lit(True).alias("cached"))
+    return rows.select("url").distinct().join(living, "url", "left").select("url", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
+@query(f"""{_I}, k as (select idx % 20 as page_id, idx, status, row_number() over (partition by idx % 20 order by case status when 'ok' then 0 else 1 end, idx) as place from i)
+select page_id, idx as old, place as idx from k""")
+def item_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir).withColumn("page_id", F.col("idx") % 20).withColumn("old", F.col("idx"))
+    return bundle.item_order(rows).select("page_id", "old", "idx")
+
+
+@query(f"""{_I}, f as (select idx % 20 as page_id, row_number() over (partition by idx % 20 order by idx) as n, * from i where status = 'ok'),
+p as (select page_id, idx, concat('pagewright-site', page_id, '.example-全部资源-now/', case type {" ".join(f"when '{t}' then '{label}'" for t, (label, _) in types.TYPES.items())} end, '/', lpad(idx::varchar, greatest(3, length(idx::varchar))::int, '0'), '-', name) as path from f)
+select page_id, path, length(path) as size from (select page_id, path from p union all
+select distinct page_id, concat('pagewright-site', page_id, '.example-全部资源-now/', unnest(['README.txt', '_manifest.json', '_资源清单.csv'])) from p)""")
+def bundle_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of the bundles of twenty jobs over all items."""
+    rows = items(spark, sf_dir).where("status = 'ok'").withColumn("page_id", F.col("idx") % 20).withColumn("body", F.encode("name", "utf-8"))
+    jobs = rows.select("page_id").distinct().select("page_id", F.concat(F.lit("https://site"), F.col("page_id").cast("string"), F.lit(".example/")).alias("url"), F.lit("t").alias("title"))
+    blocks = html.exploded(html.extract_pages(table(spark, sf_dir, "pages").limit(0), parts=("blocks",)), "blocks")
+    filtered = spark.createDataFrame([], "page_id long, seq int, url string, reason string, label string, size long, detail string")
+    made = bundle.bundle(jobs, rows, blocks, filtered, stamp="now", with_text=False)
+    return made.select("page_id", "path", F.char_length("path").alias("size"))
+
+
+@query("""select p_partkey, concat('https://x.example/a/', p_partkey, '.png') as url, 'image' as type, 'a b' as clean, 2 as chars, 1 as words, 'nav' as region, 'png' as ext, p_size * 2 as width from part""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered functions, called from SQL."""
+    registry.register(spark)
+    return spark.sql(
+        """select p_partkey, url, pw_type_of_url(url) as type, clean, pw_count_chars(clean) as chars, pw_count_words('ab') as words, pw_region_kind('main-menu') as region,
+            pw_signature(body).ext as ext, pw_image_meta(body).width as width
+        from (select p_partkey, pw_normalize_url(concat('../a/', p_partkey, '.png#x'), 'https://x.example/b/c') as url, pw_clean_text(' a &nbsp; b ') as clean,
+            unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(p_size * 2), 8, '0'), '000000010806000000', repeat('00', 16))) as body from {part})""",
+        part=heavy(spark, sf_dir, "part"),
+    )
+
+
+@query("""select p_partkey, unnest([concat('https://x.example/css/bg', p_size, '.png'), 'https://x.example/up.woff2']) as url, unnest(['background', 'src']) as prop from part""")
+def sql_table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry.register(spark)
+    return spark.sql(
+        """select p_partkey, r.url, r.prop from (select p_partkey, concat('.h {{ background: url(bg', p_size, '.png) }} @font-face {{ src: url(../up.woff2) }}') as css from {part}) p,
+            lateral pw_css_refs(p.css, 'https://x.example/css/a.css') r""",
+        part=heavy(spark, sf_dir, "part"),
+    )
+
+
+@query("""select p_partkey, case when ms < 1000 then concat(ms, 'ms') when ms < 10000 then printf('%.2fs', floor(ms / 1000 * 100 + 0.5) / 100) else printf('%.1fs', floor(ms / 1000 * 10 + 0.5) / 10) end as ms,
+    concat(p_size * 100, '×', p_size * 50, case when p_size * p_size * 5000 >= 1000000 then printf(' · %.1fMP', floor(p_size * p_size * 5000 / 1000000 * 10 + 0.5) / 10) else '' end) as pixels, 'PNG' as hint
+from (select p_partkey, p_size, (p_partkey * 37) % 20000 as ms from part)""")
+def more_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms, n = (F.col("p_partkey") * 37) % 20000, F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", text.format_ms(ms).alias("ms"), text.pixels_label(n * 100, n * 50).alias("pixels"), text.format_hint(F.lit("png"), F.lit("image"), F.lit("")).alias("hint"))
+
+
+@query("""select user_id, count(*) as n, max(event_id) as last from (select *, row_number() over (partition by user_id order by event_id desc) as r from events where event_type = 'click') where r <= 400 group by user_id""")
+def event_logs_400(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last entries of each job's log."""
+    rows = event_log.ring(table(spark, sf_dir, "events").where("event_type = 'click'"), ["user_id"], "event_id", event_log.LOGS)
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("""with e as (select user_id % 10 as job, event_id, row_number() over (partition by user_id % 10 order by event_id) as done, count(*) over (partition by user_id % 10) as total from events)
+select job, done, total, (45 + floor(done / total * 50 + 0.5))::int as progress from e where done % 2 = 0 or done = total""")
+def scan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("job", F.col("user_id") % 10)
+    rows = rows.join(rows.groupBy("job").agg(F.count("*").alias("total")), "job")
+    return progress_events(rows, ["job"], "event_id").select("job", "done", "total", "progress")

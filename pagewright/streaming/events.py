@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-RING, TTL_HOURS = 900, 24
+RING, LOGS, TTL_HOURS = 900, 400, 24
 
 
 def replay(events: DataFrame, after: int, most: int | None = None, order: str = "event_id") -> DataFrame:
@@ -23,6 +23,18 @@ def ring(events: DataFrame, keys: list[str], order: str, most: int = RING) -> Da
     return events.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
+def numbered(events: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Events with ``event_id``, from 1 in each job."""
+    return events.withColumn("event_id", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def resumed(events: DataFrame, results: DataFrame, keys: list[str], after: int) -> DataFrame:
+    """What a subscriber gets who comes back: the events after the last it saw, and of ended jobs (keys, result) the result as ``reopen``."""
+    missed = replay(events, after).select(*keys, "event_id", "kind", F.lit(None).cast("string").alias("result"))
+    ended = results.select(*keys, F.lit(None).cast("long").alias("event_id"), F.lit("reopen").alias("kind"), "result")
+    return missed.unionByName(ended)
+
+
 def latest(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row of each key, as a struct maximum that combines before the shuffle."""
     others = [c for c in events.columns if c not in keys and c != order]
