@@ -1004,3 +1004,95 @@ def scan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("job", F.col("user_id") % 10)
     rows = rows.join(rows.groupBy("job").agg(F.count("*").alias("total")), "job")
     return progress_events(rows, ["job"], "event_id").select("job", "done", "total", "progress")
+
+
+#: Heads of files in hexadecimal digits, with the extension and type that each is.
+_HEADS = (
+    ("89504E470D0A1A0A", "png", "image"), ("FFD8FFDB", "jpg", "image"), ("474946383761", "gif", "image"), ("524946460000000057454250", "webp", "image"),
+    ("000000206674797061766966", "avif", "image"), ("000000206674797068656963", "heic", "image"), ("0000000C6A5020200D0A870A", "jp2", "image"), ("49492A0008", "tiff", "image"),
+    ("4D4D002A00", "tiff", "image"), ("38425053", "psd", "image"), ("424D3600", "bmp", "image"), ("00000100" + "01" * 20, "ico", "icon"), ("00000200" + "01" * 20, "cur", "icon"),
+    ("69636E73", "icns", "icon"), ("1A45DFA3", "webm", "video"), ("5249464600000000415649204C", "avi", "video"), ("524946460000000057415645", "wav", "audio"),
+    ("464F524D0000000041494646", "aiff", "audio"), ("4F676753", "ogg", "audio"), ("664C6143", "flac", "audio"), ("0000001466747970717420", None, None),
+    ("000000146674797071742020", "mov", "video"), ("00000020667479704D344120", "m4a", "audio"), ("000000206674797069736F6D", "mp4", "video"), ("716F6966", "qoi", "image"),
+    ("444453207C", "dds", "image"), ("762F3101", "exr", "image"), ("50360A", "pnm", "image"), ("494433", "mp3", "audio"), ("FF0A", None, None), ("62706C6973743030", "plist", "data"),
+    ("255044462D", "pdf", "document"), ("D0CF11E0A1B11AE1", "doc", "document"), ("7B5C727466", "rtf", "document"), ("774F4646", "woff", "font"), ("774F4632", "woff2", "font"),
+    ("74746366", "ttc", "font"), ("0001000000", "ttf", "font"), ("4F54544F", "ttf", "font"), ("504B0304", "zip", "archive"), ("526172211A07", "rar", "archive"),
+    ("377ABCAF271C", "7z", "archive"), ("1F8B08", "gz", "archive"), ("FD377A585A00", "xz", "archive"), ("28B52FFD", "zst", "archive"), ("00" * 257 + "7573746172", "tar", "archive"),
+    ("213C617263683E", "a", "archive"), ("0061736D", "wasm", "script"), ("7F454C46", "elf", "archive"), ("4D5A90", "exe", "archive"), ("53514C69746520666F726D6174203300", "db", "data"),
+)
+_NULLABLE = lambda v: "null" if v is None else f"'{v}'"
+
+
+@query("select * from (values " + ", ".join(f"('{h}', {_NULLABLE(e)}, {_NULLABLE(t)})" for h, e, t in _HEADS) + ") as v(head, ext, type)")
+def signatures_of_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signature of the first bytes of many kinds of files."""
+    heads = spark.createDataFrame([(h,) for h, _, _ in _HEADS], "head string")
+    return heads.select("head", probe.signature(F.unhex("head")).alias("s")).select("head", "s.ext", "s.type")
+
+
+#: References that meet one rule of the policy each, and the verdict.
+_CASES = (
+    ({"url": "https://x.example/a/photo.jpg", "type": "image", "tag": "img"}, None), ({"url": "https://x.example/a/spacer.gif", "type": "image"}, "pixel"),
+    ({"url": "https://www.google-analytics.com/collect", "type": "other"}, "pixel"), ({"data_mime": "image/png", "data_bytes": 68, "type": "image"}, "pixel"),
+    ({"data_mime": "image/svg+xml", "data_bytes": 900, "type": "vector"}, "icon"), ({"data_mime": "image/png", "data_bytes": 9000, "type": "image"}, None),
+    ({"url": "https://x.example/s.css", "type": "stylesheet"}, "stylesheet"), ({"url": "https://x.example/s.js", "type": "script"}, "script"),
+    ({"url": "https://x.example/f.woff2", "type": "font"}, "font"), ({"url": "https://x.example/d.json", "type": "data"}, "data"), ({"url": "https://x.example/f.ico", "type": "icon"}, "icon"),
+    ({"url": "https://x.example/icons/a.png", "type": "image"}, "icon"), ({"url": "https://x.example/icons/a.png", "type": "image", "width_hint": "600"}, None),
+    ({"url": "https://x.example/a/hamburger.png", "type": "image"}, "icon"), ({"url": "https://x.example/a/p.png", "type": "image", "selector": ".navbar .x"}, "icon"),
+    ({"url": "https://x.example/a/p.png", "type": "image", "css_prop": "mask-image"}, "icon"), ({"url": "https://x.example/a/p.png", "type": "image", "sprite": True}, "icon"),
+    ({"url": "https://x.example/a/p.png", "type": "image", "sprite": True, "width_hint": "1200"}, None), ({"url": "https://x.example/a/p.png", "type": "image", "width": 24, "height": 24}, "icon"),
+    ({"url": "https://x.example/a/p.png", "type": "image", "zone": "noise", "zone_kind": "nav"}, "region"),
+    ({"url": "https://x.example/a/p.pdf", "type": "document", "zone": "noise", "zone_kind": "nav", "zone_soft": True, "attr": "a[download]"}, None),
+    ({"url": "https://x.example/a/p.png", "type": "image", "zone": "noise", "zone_kind": "nav", "zone_soft": True}, "region"), ({"url": "https://x.example/x", "type": "other"}, "other"),
+    ({"url": "https://x.example/uploads/x", "type": "other"}, None), ({"url": "https://x.example/x", "type": "other", "tag": "img"}, None), ({"url": "https://x.example/v.mp4", "type": "video"}, None),
+)
+
+
+@query("select * from (values " + ", ".join(f"({k}, {_NULLABLE(reason)})" for k, (_, reason) in enumerate(_CASES)) + ") as v(seq, reason)")
+def policy_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on references that meet one rule each, inline data and tracking hosts among them."""
+    kinds = {c: k for c, k in policy.REF_COLUMNS.items() if c != "cdn"}
+    rows = [(k, *(case.get(c) for c in kinds)) for k, (case, _) in enumerate(_CASES)]
+    refs_ = spark.createDataFrame(rows, "seq int, " + ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    return policy.judge(refs_).select("seq", "verdict.reason")
+
+
+@query("""select p_partkey, case k when 0 then 'image' when 1 then 'video' when 2 then 'font' when 3 then 'document' when 4 then 'data' when 5 then 'audio' end as kind,
+    case k when 0 then 'image/png' when 1 then 'video/mp4' when 2 then 'font/woff2' when 3 then 'application/pdf' when 4 then 'application/json' else 'audio/mpeg' end as mime,
+    k in (0, 1, 4, 5) as shown, concat('part ', p_partkey, '.png') as file, substr(sha1(concat('https://x.example/a/part%20', p_partkey, '.png?v=1')), 1, 6) as short
+from (select p_partkey, p_partkey % 6 as k from part)""")
+def type_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types by MIME type, MIME types by extension, what a browser shows, file names and short hashes of URLs."""
+    k = (F.col("p_partkey") % 6 + 1).cast("int")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), k)
+    mime = pick("image/png; q=1", "Video/MP4", "font/woff2", "application/pdf", "application/json", "audio/mpeg")
+    ext = pick("png", "mp4", "woff2", "pdf", "json", "mp3")
+    url = F.concat(F.lit("https://x.example/a/part%20"), F.col("p_partkey").cast("string"), F.lit(".png?v=1"))
+    kind = types.type_of_mime_col(mime)
+    rows = table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), types.mime_col(kind, ext).alias("mime"), url.alias("url"))
+    return rows.select(
+        "p_partkey", "kind", "mime", types.previewable(F.col("kind"), F.col("mime")).alias("shown"), documents.file_name_col(F.col("url")).alias("file"),
+        F.substring(F.sha1(F.col("url").cast("binary")), 1, 6).alias("short"),
+    )
+
+
+@query(f"""{_I}, m as (select row_number() over (order by idx) as n, * from i)
+select n as position, concat(n, ',', case type {' '.join(f"when '{t}' then '{label}'" for t, (label, _) in types.TYPES.items())} end, ',', name, ',', size, ',', coalesce(width::varchar, ''), ',', coalesce(height::varchar, ''), ',',
+    coalesce(duration::double::varchar, ''), repeat(',', 23), url) as line from m
+union all select 0, concat(chr(65279), '序号,类型,文件名,体积(字节),宽,高,时长(秒),页数,页面尺寸,文档标题,作者 / 艺人,专辑,年份,流派,采样率,声道,帧率,编解码,播放列表,字体,相机,精灵图,声明尺寸,声明来源,地址后缀修正,识别格式,所在区域,也被非内容区引用,MIME,原始 URL')""")
+def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole manifest of all items, its header included."""
+    return export.manifest_lines(items(spark, sf_dir).withColumn("duration", F.col("duration").cast("double")))
+
+
+#: Named entities and their characters.
+_ENTITIES = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("reg", "®"), ("trade", "™"), ("hellip", "…"), ("mdash", "—"), ("ndash", "–"), ("middot", "·"), ("times", "×"), ("deg", "°"), ("euro", "€"), ("yen", "¥"))
+
+
+@query("select doc_id, names, decoded from (select doc_id, unnest([" + ", ".join(f"'{n}'" for n, _ in _ENTITIES) + "]) as names, unnest([" + ", ".join(f"concat('a', '{c}', doc_id, '→A')" for _, c in _ENTITIES) + "]) as decoded from documents)")
+def entities_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named, decimal and hexadecimal entities in texts."""
+    names = F.explode(F.array(*(F.lit(n) for n, _ in _ENTITIES))).alias("names")
+    rows = table(spark, sf_dir, "documents").select("doc_id", names)
+    coded = F.concat(F.lit("a&"), "names", F.lit(";"), F.col("doc_id").cast("string"), F.lit("&#8594;&#x41;"))
+    return rows.select("doc_id", "names", text.decode_entities_col(coded).alias("decoded"))
