@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions import types
+from pagewright.functions import region, types
 from pagewright.functions.region import zone_rank
 
 #: How far a provenance is trusted, and tags that carry content.
@@ -120,14 +120,20 @@ def numbered(refs: DataFrame, group: str = "page_id", collation: str | None = "U
 def merge_sources(sources: DataFrame, group: str = "job_id", order: str = "source") -> DataFrame:
     """Already merged lists of several sources as one: the first source's row stands, others add one to its count.
 
-    ``sources`` has the columns key, zone, count and (order, seq), which place a row.
+    ``sources`` has the columns key, zone, zone_kind, zone_soft, count and (order, seq), which place a row. Places are merged in that
+    order, as for one page; a key has at most one row a source, so few of them meet.
     """
     place = F.struct(order, "seq")
-    kept = [c for c in sources.columns if c not in (group, "key", "count", "zone")]
-    return sources.groupBy(group, "key").agg(
-        *(F.min_by(c, place).alias(c) for c in kept), (F.min_by("count", place) + F.count("*") - 1).cast("int").alias("count"),
-        F.max_by("zone", F.struct(zone_rank(F.col("zone")), order, "seq")).alias("zone"),
-    )
+    zones = ("zone", "zone_kind", "zone_soft", "zone_kinds", "zone_also")
+    kept = [c for c in sources.columns if c not in (group, "key", "count", *zones)]
+    seen = F.array_sort(F.collect_list(F.struct(order, "seq", "zone", F.col("zone_kind").alias("kind"), F.col("zone_soft").alias("soft"))))
+    merged = sources.groupBy(group, "key").agg(
+        *(F.min_by(c, place).alias(c) for c in kept), (F.min_by("count", place) + F.count("*") - 1).cast("int").alias("count"), seen.alias("_places")
+    )
+    names = {"zone": "zone", "kind": "zone_kind", "soft": "zone_soft", "kinds": "zone_kinds"}
+    merged = merged.withColumn("_zone", region.merge_zones(F.col("_places")))
+    told = {to: F.col(f"_zone.{name}") for name, to in names.items()} | {"zone_also": F.array_join("_zone.also", " ")}
+    return merged.withColumns(told).drop("_places", "_zone")
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

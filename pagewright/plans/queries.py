@@ -365,10 +365,12 @@ def numbered_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.numbered(rows, collation=None).select("page_id", "seq", "idx")
 
 
-@query(f"with r as ({views.REFS}) select page_id % 10 as job_id, url, count(*)::int as count, min(seq) as seq from r group by 1, 2")
+@query(f"""with r as (select *, {_RANK} as rk from ({views.REFS})), m as (select page_id % 10 as job_id, url, count(*)::int as count, min(seq) as seq, max(rk) as rk, arg_max(zone_kind, seq) as kind from r group by 1, 2)
+select job_id, url, count, seq, case rk when 3 then 'main' when 2 then 'content' else 'noise' end as zone, case when rk = 1 then kind else '' end as zone_kind from m""")
 def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.refs(spark, sf_dir).select((F.col("page_id") % 10).alias("job_id"), F.col("url").alias("key"), "url", "seq", "zone", F.lit(0).alias("source"), F.lit(1).alias("count"))
-    return refs.merge_sources(rows).select("job_id", "url", "count", "seq")
+    own = ["url", "seq", "zone", "zone_kind", "zone_soft"]
+    rows = views.refs(spark, sf_dir).select((F.col("page_id") % 10).alias("job_id"), F.col("url").alias("key"), *own, F.lit(0).alias("source"), F.lit(1).alias("count"))
+    return refs.merge_sources(rows).select("job_id", "url", "count", "seq", "zone", "zone_kind")
 
 
 @query("""with recursive edges as (select n_nationkey as parent, (n_nationkey * 7 + 3) % 25 as child from nation union all select n_nationkey, (n_nationkey * 3 + 1) % 25 from nation),
