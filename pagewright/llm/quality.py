@@ -84,35 +84,42 @@ class OrdinalModel:
 
 def telling(index: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int, sigmas: float) -> np.ndarray:
     """Whether each bucket is in ``least`` rows or more, and as often on both sides of every grade only by chance."""
-    count = np.bincount(index, minlength=1 << BITS)
+    count = _bucket_counts(index)
     found = np.zeros(1 << BITS, bool)
     for k in range(int(grades.max())):
         high = grades > k
         share = high.mean()
         if 0 < share < 1:
-            above = np.bincount(index[high[owner]], minlength=1 << BITS)
+            above = _bucket_counts(index, high[owner])
             found |= np.abs(above - share * count) >= sigmas * np.sqrt(count * share * (1 - share) * (1 - count / len(grades))) + 1e-9
     return found & (count >= least)
 
 
+def _bucket_counts(index: np.ndarray, chosen: np.ndarray | None = None, step: int = 1 << 20) -> np.ndarray:
+    """How often each bucket is in ``index``, or in the chosen part of it; by parts, as counting widens what it counts."""
+    out = np.zeros(1 << BITS, np.int64)
+    for at in range(0, len(index), step):
+        part = index[at : at + step]
+        out += np.bincount(part if chosen is None else part[chosen[at : at + step]], minlength=1 << BITS)
+    return out
+
+
 def fit(
-    rows: list[np.ndarray], grades: np.ndarray, l2: float = 0.3, steps: int = 200, least: int = 4, sigmas: float = 3.0
+    index: np.ndarray, owner: np.ndarray, grades: np.ndarray, l2: float = 0.3, steps: int = 200, least: int = 4, sigmas: float = 3.0
 ) -> OrdinalModel:
     """Maximum penalised likelihood by full-batch gradients with per-weight step sizes (Adam).
 
-    Buckets found in fewer than ``least`` rows, or whose frequency does not depend on the grade (``sigmas``
+    ``index`` are the features of all rows, ``owner`` the place of the row that each belongs to, in ``grades``. Buckets found in fewer than ``least`` rows, or whose frequency does not depend on the grade (``sigmas``
     standard errors), keep the weight 0, so that single documents teach nothing by heart.
     """
     top = int(grades.max())
-    index = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     often = telling(index, owner, grades, least, sigmas)
     used = np.flatnonzero(often)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    owner = owner[often[index]]
-    index = place[index[often[index]]]
-    n = len(rows)
+    told = often[index]
+    owner, index = owner[told].astype(np.intp), place[index[told]].astype(np.intp)
+    n = len(grades)
     goal = (grades[:, None] > np.arange(top)[None, :]).astype(float)
     prior = np.clip(goal.mean(axis=0), 1e-3, 1 - 1e-3)
     first, gaps = -np.log(prior[0] / (1 - prior[0])), np.log(np.maximum(np.diff(-np.log(prior / (1 - prior))), 1e-2))
@@ -161,12 +168,18 @@ def train(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     joined = texts.where("text is not null").join(sample, "id")
     found = joined.mapInArrow(_featured, "id long, grade int, found array<int>").orderBy("id").limit(fit_rows).toArrow()
-    rows = [r.values.to_numpy() for r in found.column("found")] if found.num_rows else []
-    kept = [k for k, r in enumerate(rows) if len(r)]
-    grades = found.column("grade").to_numpy()[kept].astype(int) if kept else np.zeros(0, int)
+    column = found.column("found").combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy()) if found.num_rows else np.zeros(0, np.int32)
+    told = sizes > 0
+    grades = found.column("grade").to_numpy()[told].astype(np.int64)
     if len(set(grades.tolist())) < 2:
         return None
-    return fit([rows[k].astype(np.int64) for k in kept], grades)
+    # Flat arrays of 32 bits: the sample is the largest thing that the driver holds.
+    owner = np.repeat((np.cumsum(told) - 1).astype(np.int32), sizes)
+    index = column.values.to_numpy()[column.offsets[0].as_py() :].copy()
+    del found, column
+    pa.default_memory_pool().release_unused()
+    return fit(index, owner, grades)
 
 
 def _scored(docs: DataFrame, model: OrdinalModel | None, keep_grade: int, columns: list[str], text_col: str) -> DataFrame:

@@ -318,7 +318,8 @@ def test_fit_is_a_maximum_of_the_plain_likelihood():
         own = {rng.randrange(1, 12), 20 + (grade if rng.random() < 0.7 else rng.randrange(3)), 30 + (grade > 0 and rng.random() < 0.8)}
         rows.append(np.array(sorted(own), np.int64))
         grades.append(grade)
-    model = quality.fit(rows, np.array(grades), steps=900)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    model = quality.fit(np.concatenate(rows), owner, np.array(grades), steps=900)
     weights = {int(k): float(model.weights[k]) for k in np.flatnonzero(model.weights)}
     assert weights and min(weights) >= 20 and list(model.thresholds) == sorted(model.thresholds)
     best = plain_likelihood(weights, model.thresholds, rows, grades, 0.3)
