@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,15 +145,15 @@ def plan(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...],
 def slots(found: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     """Columns length, first rank, first sequence, offset; ascending by length and rank."""
     taken: dict[int, int] = {}
-    rows, sequence = [], 0
+    rows, sequence = array("q"), 0
     for parts, n in found:
         offset = 0
         for p in parts:
-            rows.append((p, taken.get(p, 0), sequence, offset))
+            rows.extend((p, taken.get(p, 0), sequence, offset))
             taken[p] = taken.get(p, 0) + n
             offset += p
         sequence += n
-    table = np.array(rows, np.int64).reshape(-1, 4)
+    table = np.frombuffer(rows, np.int64).reshape(-1, 4) if rows else np.zeros((0, 4), np.int64)
     return table[np.lexsort((table[:, 1], table[:, 0]))]
 
 
