@@ -53,6 +53,8 @@ def shingles(words: Column, size: int) -> Column:
 
 def _by_size(words: Column, sizes: list[int], of: Callable[[Column, int], Column]) -> Column:
     """``of`` of each size, in one array; null if there is none."""
+    if len(sizes) == 1:
+        return of(words, sizes[0])
     found = F.flatten(F.array_compact(F.array(*(of(words, k) for k in sizes))))
     return F.when(F.size(found) > 0, found)
 
