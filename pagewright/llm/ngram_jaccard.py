@@ -434,9 +434,14 @@ def jaccard_components(
     drop(placed)
     links, again = _under_keys(left, sets, percent, whole=False)
     if not again.isEmpty():
+        # What has moved is told of the components of each key, not of its members; keys of one component are done.
         near = components(links).withColumnRenamed("component", "near")
-        rest = left.join(again, "key").join(near, F.col("component") == F.col("node"), "left")
-        rest = _mixed(rest.select("key", "fp", "n", F.coalesce("near", "component").alias("component")))
+        open_rows = left.join(again, "key")
+        moved = open_rows.select("key", "component").distinct().join(near, F.col("component") == F.col("node"), "left")
+        moved = keep(moved.select("key", "component", F.coalesce("near", "component").alias("now")), "moved")
+        open_ = moved.groupBy("key").agg(F.min("now").alias("x"), F.max("now").alias("y")).where("x < y").select("key")
+        rest = open_rows.join(keep(moved.join(open_, "key"), "open"), ["key", "component"])
+        rest = keep(_mixed(rest.select("key", "fp", "n", F.col("now").alias("component"))), "rest")
         more, _ = _under_keys(rest, sets, percent, whole=True)
         links = keep(links.unionByName(more), "links")
     second = keep(components(links), "second")
