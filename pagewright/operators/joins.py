@@ -13,6 +13,8 @@ from pagewright.operators.css import css_references, parse_srcset
 from pagewright.operators.html import LAZY_ATTR
 
 BOX_SHARE, BLOCK_KEY = 0.35, 220
+#: Rows of one rectangle for which another copy is made, and the most copies.
+WAY_ROWS, MOST_WAYS = 64, 64
 #: Attributes of elements that name a resource, and values of data attributes that do.
 URL_ATTRS = ("src", "href", "poster", "data", "background", "xlink:href", "movie", "codebase", "formaction")
 SRCSET_ATTRS = ("srcset", "imagesrcset")
@@ -110,25 +112,28 @@ def overlap(a: str, b: str) -> Column:
 def boxes_in_areas(boxes: DataFrame, areas: DataFrame, share: float = BOX_SHARE, cell: float = 512.0) -> DataFrame:
     """(item_id, area_id, share) of boxes (item_id, box) that lie in an area (area_id, box) by ``share`` or more.
 
-    A grid turns the overlap into an equi-join: rectangles are dealt to the cells they touch, and a pair is taken in the first
-    cell that both touch. Neither side is broadcast or crossed.
+    Only different rectangles are compared; the rows that have them follow by equi-joins. A grid turns the overlap into one too:
+    rectangles are dealt to the cells they touch, and a pair is taken in the first cell that both touch. The boxes that lie in
+    an area that many rows share are dealt over up to MOST_WAYS copies of those rows. The boxes are neither broadcast nor crossed.
     """
 
     def celled(df: DataFrame, name: str) -> DataFrame:
         def span(low: str, high: str) -> Column:
-            first = F.floor(F.col(f"box.{low}") / cell)
-            return F.sequence(first, F.greatest(first, F.ceil(F.col(f"box.{high}") / cell) - 1))
+            first = F.floor(F.col(f"{name}.{low}") / cell)
+            return F.sequence(first, F.greatest(first, F.ceil(F.col(f"{name}.{high}") / cell) - 1))
 
-        rows = df.select(name, F.col("box").alias(f"{name}_box"), F.explode(span("left", "right")).alias("cx"), "box")
-        rows = rows.select(name, f"{name}_box", "cx", F.explode(span("top", "bottom")).alias("cy"))
-        return rows
+        return df.withColumn("cx", F.explode(span("left", "right"))).withColumn("cy", F.explode(span("top", "bottom")))
 
-    a, b = celled(boxes, "item_id"), celled(areas, "area_id")
-    pairs = a.join(b, ["cx", "cy"])
-    first_x = F.floor(F.greatest("item_id_box.left", "area_id_box.left") / cell)
-    first_y = F.floor(F.greatest("item_id_box.top", "area_id_box.top") / cell)
+    items, places = boxes.select("item_id", F.col("box").alias("item_box")), areas.select("area_id", F.col("box").alias("area_box"))
+    shared = places.groupBy("area_box").agg(F.least(F.lit(MOST_WAYS), F.ceil(F.count("*") / WAY_ROWS)).cast("int").alias("ways"))
+    pairs = celled(items.select("item_box").distinct(), "item_box").join(celled(shared, "area_box"), ["cx", "cy"])
+    first_x = F.floor(F.greatest("item_box.left", "area_box.left") / cell)
+    first_y = F.floor(F.greatest("item_box.top", "area_box.top") / cell)
     pairs = pairs.where((F.col("cx") == first_x) & (F.col("cy") == first_y))
-    return pairs.select("item_id", "area_id", overlap("item_id_box", "area_id_box").alias("share")).where(F.col("share") >= share)
+    pairs = pairs.select("item_box", "area_box", "ways", overlap("item_box", "area_box").alias("share")).where(F.col("share") >= share)
+    found = items.join(pairs.hint("merge"), "item_box").withColumn("way", F.pmod(F.xxhash64("item_id"), "ways").cast("int"))
+    copies = places.join(shared, "area_box").withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    return found.join(copies.drop("ways"), ["area_box", "way"]).select("item_id", "area_id", "share")
 
 
 def region_bands(elements: DataFrame, most_noise: int = 60, most_main: int = 12) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import io
 import struct
+import threading
 import zipfile
 
 from pyspark.sql import functions as F
@@ -303,3 +304,29 @@ def test_streams(spark, tmp_path):
     html = spark.createDataFrame([(1, "http://x/", "<p>a<p>b"), (2, "http://y/", "<p>c")], "page_id long, url string, html string")
     html.repartition(2).write.parquet(str(tmp_path / "pages"))
     assert {r["page_id"]: r["blocks"] for r in pages.blocks_per_page(spark, str(tmp_path / "pages")).collect()} == {1: 2, 2: 1}
+
+
+def rectangles(df, name, left, top, width, height):
+    """Rows (name, box) of a table of ids."""
+    sides = [F.expr(f"cast({e} as double)").alias(n) for n, e in (("left", left), ("top", top), ("right", f"{left} + {width}"), ("bottom", f"{top} + {height}"))]
+    return df.select(F.col("id").alias(name), F.struct(*sides).alias("box"))
+
+
+def test_boxes_in_areas_that_many_rows_share(spark):
+    boxes = rectangles(spark.range(300), "item_id", "id % 7 * 200", "id % 3 * 300", "100 + id % 2 * 700", "200")
+    areas = rectangles(spark.range(400), "area_id", "id % 4 * id % 2 * 350", "0", "600", "500")
+    whole = boxes.crossJoin(areas.withColumnRenamed("box", "other")).withColumn("share", joins.overlap("box", "other")).where("share >= 0.35")
+    expected = sorted(tuple(r) for r in whole.select("item_id", "area_id", "share").collect())
+    assert len(expected) > 10000 and sorted(tuple(r) for r in joins.boxes_in_areas(boxes, areas).collect()) == expected
+
+
+def test_equal_rectangles_are_compared_once(spark):
+    """300,000 boxes of two sizes beside 300,000 equal areas of the same cell: nothing is found, and not by 90 billion comparisons."""
+    boxes = rectangles(spark.range(300_000), "item_id", "id % 2", "0", "100", "100")
+    areas = rectangles(spark.range(300_000), "area_id", "80 + id % 1", "80", "100", "100")
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        assert joins.boxes_in_areas(boxes, areas).count() == 0
+    finally:
+        stop.cancel()
