@@ -50,12 +50,13 @@ def _character(code: int) -> str:
     return chr(code) if 0 <= code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else ""
 
 
-def decode_entities(text: str) -> str:
-    """Hexadecimal, then decimal, then named entities; unknown names stay."""
+def decode_entities(text: str, bare: bool = True) -> str:
+    """Hexadecimal, then decimal, then named entities; unknown names stay, and unless ``bare`` those that no semicolon ends."""
     if "&" not in text:
         return text
-    text = re.sub(r"(?i)&#x([0-9a-f]{1,6});?", lambda m: _character(int(m[1], 16)), text)
-    text = re.sub(r"&#([0-9]{1,7});?", lambda m: _character(int(m[1])), text)
+    end = ";?" if bare else ";"
+    text = re.sub(rf"(?i)&#x([0-9a-f]{{1,6}}){end}", lambda m: _character(int(m[1], 16)), text)
+    text = re.sub(rf"&#([0-9]{{1,7}}){end}", lambda m: _character(int(m[1])), text)
 
     def named(m: re.Match) -> str:
         name = m[1].lower()
@@ -63,7 +64,7 @@ def decode_entities(text: str) -> str:
             return m[0]
         return "" if ENTITIES[name] is None else chr(ENTITIES[name])
 
-    return re.sub(r"(?i)&([a-z]+);?", named, text)
+    return re.sub(rf"(?i)&([a-z]+){end}", named, text)
 
 
 def trimmed(text: str) -> str:
@@ -75,8 +76,8 @@ def _words(text: str) -> list[str] | None:
     return text.split() if text.isascii() and not _SEPARATOR.search(text) else None
 
 
-def clean_text(text: str) -> str:
-    text = decode_entities(text)
+def clean_text(text: str, bare: bool = True) -> str:
+    text = decode_entities(text, bare)
     words = _words(text)
     return trimmed(_RUN.sub(" ", text)) if words is None else " ".join(words)
 

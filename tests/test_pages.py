@@ -143,3 +143,11 @@ def test_a_scan_from_page_to_items(spark, tmp_path):
     assert items["p2.png"]["verdict"]["reason"] == "pixel" and items["v.mp4"]["status"] == "missing" and items["doc.zip"]["status"] == "pending"
     again = reprobe(result.kept, urls=spark.createDataFrame([("https://site.example/dir/v.mp4",)], "url string"))
     assert again.count() == 1
+
+
+def test_entities_without_semicolons():
+    page = "<title>x&amp</title><p title='a&lt'>a&amp b&amp; c&#65 d&#65; e&#x41 f&#x41; &copyg &copy</p>"
+    whole, closed = (html.read_page(page, URL, ("doc", "blocks"), bare=bare) for bare in (True, False))
+    assert (whole["doc"]["title"], whole["blocks"][0]["text"]) == ("x&", "a& b& cA dA eA fA &copyg ©")
+    assert (closed["doc"]["title"], closed["blocks"][0]["text"]) == ("x&amp", "a&amp b& c&#65 dA e&#x41 fA &copyg &copy")
+    assert html.read_page(page, URL, ("doc", "blocks")) == whole

@@ -12,6 +12,13 @@ import __spark_entry__ as entry
 SF = Path("/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parent.parent
 NAMES = [n for n in entry.oracle_sql() if not n.startswith("op")]
+#: Queries on pages whose titles are cut within an entity.
+CUT_NAMES = [
+    "page_blocks_merged",
+]
+CUT_PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>A &amp;&amp; {cut}</title><style>p{{margin:0}}</style></head><body><nav><ul>
+<li><a href="/To">To{cut}</a></li></ul></nav><article><h1>A &amp;&amp; {cut}</h1><p><b>A &amp;&amp; &amp;&quot; tail.<br><p>B&lt;.{cut}</p></article><footer>&copy; x &middot; y.</footer></body></html>"""
+CUTS = ("and&amp", "and&am", "and&", "&quot", "&lt", "&copy", "&copy x", "&ampx", "&amp;amp", "and&amp;")
 
 
 def plain(value):
@@ -42,6 +49,24 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in found.collect()), key=repr) == expected
 
 
+@pytest.fixture(scope="module")
+def cut_pages(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("cut")
+    rows = [(n, f"https://a.example/{n}", CUT_PAGE.format(cut=cut)) for n, cut in enumerate(CUTS)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(folder / "pages.parquet"))
+    return folder
+
+
+@pytest.mark.parametrize("name", CUT_NAMES)
+def test_entities_without_semicolons_stay_as_in_sql(spark, cut_pages, name):
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{cut_pages}/pages.parquet/*.parquet'")
+    found = entry.queries()[name](spark, str(cut_pages))
+    columns = ", ".join(f'"{c}"' for c in found.columns)
+    expected = con.execute(f"select {columns} from ({entry.oracle_sql()[name]})").fetchall()
+    assert expected and sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_import_without_the_training_data_part():
     code = "import sys; sys.modules['pagewright.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') for n in e.queries()); print('fine')"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
