@@ -22,6 +22,7 @@ CUT_NAMES = [
     "page_zone_text_stats",
     "text_csv",
     "text_html",
+    "text_markdown",
 ]
 CUT_PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>A &amp;&amp; {cut}</title><style>p{{margin:0}}</style></head><body><nav><ul>
 <li><a href="/To">To{cut}</a></li></ul></nav><article><h1>A &amp;&amp; {cut}</h1><p><b>A &amp;&amp; &amp;&quot; tail.<br><p>B&lt;.{cut}</p></article><footer>&copy; x &middot; y.</footer></body></html>"""
