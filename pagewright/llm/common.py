@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ _LOCAL_DIRS: dict[str, tempfile.TemporaryDirectory] = {}
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: Shuffle files of a query go as soon as it has ended; nothing reads them once its table is written.
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Seconds between two returns of the driver's unused memory, and when the last one was, by application.
+TRIM_SECONDS = 2
+_TRIMMED: dict[str, float] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -46,6 +51,30 @@ def _own_shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_FREE, before)
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Gives memory that the driver's JVM has freed outside its heap back to the system; False where the JVM can't.
+
+    Planning and compiling many queries on many threads leaves freed blocks in the C library's arenas, which otherwise keep them.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # The server's own class is not open to py4j; its interface is.
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = new(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, given)
+    except (Py4JError, StopIteration):
+        return False
+    return True
+
+
+def _trim_now_and_then(spark: SparkSession) -> None:
+    app, now = spark.sparkContext.applicationId, time.monotonic()
+    if now - _TRIMMED.get(app, -TRIM_SECONDS) >= TRIM_SECONDS:
+        _TRIMMED[app] = now if trim_driver(spark) else float("inf")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the scratch folder and reads it back."""
     spark = df.sparkSession
@@ -53,6 +82,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     with _own_shuffles_freed(spark):
         df.write.parquet(path)
+    _trim_now_and_then(spark)
     kept = spark.read.schema(schema).parquet(path)
     _PATHS[kept] = path
     return kept
