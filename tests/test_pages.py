@@ -169,3 +169,12 @@ def test_deep_inline_elements_are_read_in_linear_time():
     began = time.process_time()
     blocks = html.read_page("<article><p>" + "<b>x " * 200_000 + "</article>", URL, ("blocks",), deep=True)["blocks"]
     assert [b["words"] + b["chars"] for b in blocks] == [200_000] and time.process_time() - began < 60
+
+
+def test_all_headings_are_read_and_a_scan_lists_the_first(spark, tmp_path):
+    """The reader has no limit; a scan lists 300 headings of a page, as the reference does."""
+    pages = spark.createDataFrame([(1, URL, "".join(f"<h2>A {k}</h2>" for k in range(700)))], "page_id long, url string, html string")
+    found = html.exploded(html.extract_pages(pages, parts=("headings",)), "headings").orderBy("position").collect()
+    assert [(r["position"], r["level"], r["text"]) for r in found] == [(k + 1, 2, f"A {k}") for k in range(700)]
+    listed = scan(pages, workspace=str(tmp_path)).headings.orderBy("position").collect()
+    assert listed == found[:300]

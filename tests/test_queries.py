@@ -87,6 +87,17 @@ def test_regions_hold_at_any_depth_as_in_sql(spark, tmp_path, name):
     assert expected and sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
 
 
+def test_all_headings_as_in_sql(spark, tmp_path):
+    rows = [(n, f"https://a.example/{n}", "<article>" + "".join(f"<h1>A {k % 450}</h1><p>b</p>" for k in range(n)) + "</article>") for n in (0, 299, 300, 301, 5000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    found = entry.queries()["page_headings"](spark, str(tmp_path))
+    columns = ", ".join(f'"{c}"' for c in found.columns)
+    expected = con.execute(f"select {columns} from ({entry.oracle_sql()['page_headings']})").fetchall()
+    assert len(expected) == 5900 and sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_import_without_the_training_data_part():
     code = "import sys; sys.modules['pagewright.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') for n in e.queries()); print('fine')"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
